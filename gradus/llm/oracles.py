@@ -31,4 +31,26 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
-ORACLES = {"op5_mixing": MIX.replace("{docs}", "documents")}
+NGRAM = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), s AS (
+  SELECT DISTINCT r, doc_id, CASE WHEN len(words) < 5 THEN array_to_string(words, ' ')
+         ELSE array_to_string(words[i:i + 4], ' ') END AS g
+  FROM (SELECT *, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)
+), c AS (
+  SELECT r, count(*) AS n FROM s GROUP BY r
+), links AS (
+  SELECT a.r AS u, b.r AS v FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r JOIN c ca ON ca.r = a.r JOIN c cb ON cb.r = b.r
+  GROUP BY a.r, b.r, ca.n, cb.n HAVING 100 * count(*) >= 80 * (ca.n + cb.n - count(*))
+), reach(u, v) AS (
+  SELECT r, r FROM w UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u
+)
+SELECT w.doc_id, CAST(coalesce(any_value(c.n), 0) AS BIGINT) AS n_shingles, min(x.doc_id) AS component_id
+FROM w LEFT JOIN c ON c.r = w.r JOIN reach ON reach.u = w.r JOIN w x ON x.r = reach.v
+GROUP BY w.r, w.doc_id
+"""
+
+ORACLES = {"op5_mixing": MIX.replace("{docs}", "documents"), "op10_ngram_join": NGRAM}
