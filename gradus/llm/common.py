@@ -10,7 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space, the separators between words everywhere in this subpackage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Words are what ASCII white space separates, everywhere in this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -40,7 +41,13 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     executor costs a read, and lets a later join see plain exchanges, which AQE can split."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kept/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Nothing reads the shuffle files of a finished write; else they stay until the driver collects its garbage.
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
     return out
