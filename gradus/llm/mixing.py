@@ -87,3 +87,18 @@ def mix(docs: DataFrame, seed: str = "mix-1", weight=None, epochs: int = 3, rows
             (F.col("passes") * size + F.greatest(F.lit(0), F.least(size, F.col("budget") - F.col("passes") * source_size - F.col("start")))).cast("long").alias("taken"),
         )
     )
+
+
+def repeated(docs: DataFrame, **kwargs) -> DataFrame:
+    """The rows of docs, all columns, as often as the mix passes over them, whole.
+
+    Rows with the same doc_id, source and size are one to the mix: they share the largest number
+    of passes that one of them has. The document at a budget's end isn't cut.
+    """
+    size = word_count(F.col("text"))
+    kinds = {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")), "__source": F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))}
+    taken = mix(docs, **kwargs).withColumns(kinds).where("taken > 0")
+    times = taken.groupBy("__id", "__source", F.col("size").alias("__size")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__times"))
+    times = keep(times, "times")
+    rows = docs.withColumns(kinds | {"__size": size}).join(times, ["__id", "__source", "__size"])
+    return rows.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)

@@ -187,6 +187,18 @@ def score(docs: DataFrame, trees: Trees, columns: tuple[str, ...] = ("doc_id",))
     return picked.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), "score double"]))
 
 
+def select(docs: DataFrame, trees: Trees, threshold: float) -> DataFrame:
+    """The rows of docs, all columns, that score at least threshold; no shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(trees)
+
+    def run(batches, at=docs.columns.index("text")):
+        for batch in batches:
+            x = np.array([statistics(t) for t in batch.column(at).to_pylist()]).reshape(batch.num_rows, len(FEATURES))
+            yield batch.filter(pa.array(held.value.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs."""
     scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels))
