@@ -23,13 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gradus.llm.common import drop_kept, keep
 from gradus.llm.components import components
 from gradus.llm.shingles import WordHasher, digest, parity, scramble, shingle_set, words_of
 
 LEVELS = 6
-BITS = 512
 BLOOM_BITS = 1 << 22
 
 _ROWS = "doc_id long, k1 long, k2 long, n int, par array<long>, sigs array<long>"
@@ -61,7 +61,7 @@ class Plan:
         for b in range(len(self.low) - 1):
             high = self.low[b + 1] - 1
             need = 2 * high * (q - p) // (q + p) + 1
-            units = need if need == 1 else need + 1 + need // 10
+            units = need if need == 1 else need + 1 + need // 30
             rows, mean = sizes.get(b, (1, (self.low[b] + high) / 2))
             best = None
             for twos in {0, units // 8, units // 4, units // 2}:
@@ -127,7 +127,7 @@ def _rows(plan: Plan, width: int):
                     # Copies within a task need no signatures of their own.
                     sigs = None if k in seen else plan.signatures(s).view(np.int64)
                     seen.add(k)
-                    row = (doc_id, *k, len(s), parity(s, BITS), sigs)
+                    row = (doc_id, *k, len(s), parity(s), sigs)
                 else:
                     row = (doc_id, 0, 0, 0, None, None)
                 for col, v in zip(cols, row, strict=True):
@@ -171,13 +171,22 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["k1", "k2", "n", "shingles"])
 
     found = docs.select("text", _bloom_bit(F.col("doc_id").cast("long")).alias("bit")).mapInArrow(run, _SETS)
-    return found.join(wanted.select("node", "k1", "k2", "n"), ["k1", "k2", "n"]).groupBy("node", "n").agg(F.first("shingles").alias("shingles"))
+    return found.join(wanted.select("node", "k1", "k2", "n"), ["k1", "k2", "n"]).groupBy("k1", "k2", "n", "node").agg(F.first("shingles").alias("shingles")).select("node", "n", "shingles")
 
 
 def _may_link(p: int, q: int):
     """What two sets' sizes and parities allow; columns n_a, par_a, n_b, par_b."""
     a, b = F.col("n_a"), F.col("n_b")
-    differ = sum((F.bit_count(F.col("par_a")[i].bitwiseXOR(F.col("par_b")[i])) for i in range(BITS // 64)), F.lit(0))
+    x, y = F.col("par_a"), F.col("par_b")
+
+    def halved(z):
+        half = (F.size(z) / 2).cast("int")
+        return F.zip_with(F.slice(z, 1, half), F.slice(z, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+    def bits(x, y):
+        return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
+
+    differ = F.when(F.size(x) == F.size(y), bits(x, y)).when(F.size(x) == 2 * F.size(y), bits(halved(x), y)).when(F.size(y) == 2 * F.size(x), bits(x, halved(y))).otherwise(0)
     return (F.least(a, b) * q >= F.greatest(a, b) * p) & (differ * (q + p) <= (a + b) * (q - p))
 
 
@@ -195,11 +204,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, slim: DataFrame, p: int, q: int
 
 
 def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (80, 100), width: int = 5) -> DataFrame:
-    """doc_id, k1, k2, n_shingles, component_id of every row of docs.
+    """doc_id, k1, k2, n_shingles, component_id, root of every row of docs.
 
     component_id is the smallest doc_id among the rows that links of Jaccard similarity of
     at least similarity (a fraction of integers) between sets of width-word shingles reach. k1
-    and k2 together name the set; equal sets are one node, however many rows have it.
+    and k2 together name the set; equal sets are one node, however many rows have it. root numbers
+    components within one run (null without words).
 
     Null or empty texts, and texts without words: n_shingles 0, linked with nothing,
     component_id is the row's own doc_id. Null doc_id: takes part like any row and is
@@ -222,13 +232,16 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (80, 100), wi
 
     in_bucket = Window.partitionBy("sig").orderBy("row")
     hits = some.where("sigs is not null").select(F.explode("sigs").alias("sig"), "row")
-    hits = hits.select("sig", "row", F.first("row").over(in_bucket).alias("center"), F.lead("row").over(in_bucket).alias("next"))
-    hits = keep(hits.where("row <> center or next is not null").drop("next"), "hits")
+    hits = hits.select("sig", "row", *(f("row").over(in_bucket).alias(n) for n, f in (("center", F.first), ("before", F.lag), ("next", F.lead))))
+    hits = hits.where("row <> center").select("sig", "row", "center", (F.col("next").isNotNull() | (F.col("before") != F.col("center"))).alias("many"))
+    hits = keep(hits, "hits")
+    plain = keep(rows.select("doc_id", "k1", "k2", "n"), "plain")
+    drop_kept(rows)  # signatures are the largest part, and no longer needed
 
     def side(x: str, key: str) -> DataFrame:
         return slim.select(F.col("row").alias(key), F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("par").alias(f"par_{x}"))
 
-    stars = hits.where("row <> center").select("row", "center").distinct()
+    stars = hits.select("row", "center").distinct()
     stars = keep(stars.join(side("a", "row"), "row").join(side("b", "center"), "center").where("a <> b"), "stars")
     pairs = keep(stars.where(_may_link(p, q)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     edges = _verified(pairs, docs, slim, p, q, width)
@@ -238,8 +251,10 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (80, 100), wi
     comp = keep(slim.join(roots, slim["node"] == roots["id"], "left").select("row", "node", "n", "par", F.coalesce("root", "node").alias("comp")), "comp")
     open_stars = stars.join(roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b", "left")
     open_stars = open_stars.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("row", "center")
-    open_hits = hits.join(open_stars, ["row", "center"], "left_semi").select("sig").distinct()
-    held = hits.join(open_hits, "sig", "left_semi").join(comp, "row").groupBy("sig", "node").agg(F.first("n").alias("n"), F.first("par").alias("par"), F.first("comp").alias("comp"))
+    # Pairs with the smallest one have all been checked, so only buckets with two others matter.
+    others = hits.where("many").drop("many")
+    open_hits = others.join(open_stars, ["row", "center"], "left_semi").select("sig").distinct()
+    held = others.join(open_hits, "sig", "left_semi").join(comp, "row").groupBy("sig", "node").agg(F.first("n").alias("n"), F.first("par").alias("par"), F.first("comp").alias("comp"))
     held = keep(held, "held")
     a = held.select("sig", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("par").alias("par_a"), F.col("comp").alias("comp_a"))
     b = held.select("sig", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("par").alias("par_b"), F.col("comp").alias("comp_b"))
@@ -255,8 +270,34 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (80, 100), wi
     named = nodes.join(roots, nodes["node"] == roots["id"], "left").select("k1", "k2", "n", "low", F.coalesce("root", "node").alias("root"))
     named = keep(named, "named")
     ids = keep(named.groupBy("root").agg(F.min("low").alias("component_id")), "ids")
-    named = keep(named.join(ids, "root").select("k1", "k2", F.col("n").alias("n_"), "component_id"), "classes")
-    plain = rows.select("doc_id", "k1", "k2", "n")
+    named = keep(named.join(ids, "root").select("k1", "k2", F.col("n").alias("n_"), "component_id", "root"), "classes")
     linked = plain.where("n > 0").join(named.withColumnRenamed("n_", "n"), ["k1", "k2", "n"])
-    alone = plain.where("n = 0").withColumn("component_id", F.col("doc_id"))
-    return linked.select("doc_id", "k1", "k2", F.col("n").cast("long").alias("n_shingles"), "component_id").union(alone.select("doc_id", "k1", "k2", F.col("n").cast("long"), "component_id"))
+    alone = plain.where("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("root", F.lit(None).cast("long"))
+    return linked.union(alone.select(*linked.columns)).select("doc_id", "k1", "k2", F.col("n").cast("long").alias("n_shingles"), "component_id", "root")
+
+
+def one_of_each(docs: DataFrame, **kwargs) -> DataFrame:
+    """The rows of docs, all columns, without near duplicates: of each component the row with the
+    smallest doc_id stays, one row if that is repeated. Rows without words all stay."""
+    found = near_duplicates(docs.select("doc_id", "text"), **kwargs)
+    first = found.where(F.col("n_shingles") > 0).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # A set's digest tells rows apart that share a doc_id; so two components of one id both stay.
+    stay = keep(first.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), "k1", "k2")).alias("k")).select("k.id", "k.k1", "k.k2"), "stay")
+    return _rows_of(docs, stay, kwargs.get("width", 5))
+
+
+def _rows_of(docs: DataFrame, stay: DataFrame, width: int) -> DataFrame:
+    """One row of docs for each (id, k1, k2) of stay, and all rows without words."""
+    names, at = [*docs.columns, "__k1", "__k2"], docs.columns.index("text")
+
+    def run(batches):
+        hashed = WordHasher()
+        for batch in batches:
+            keys = [digest(s) if len(s := shingle_set(hashed(words_of(t)), width)) else (None, None) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], names=names)
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("__k1", T.LongType()), T.StructField("__k2", T.LongType())])
+    keyed = docs.mapInArrow(run, schema).withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    held = keyed.where("__k1 is not null").join(stay, (F.col("__id") == stay["id"]) & (F.col("__k1") == stay["k1"]) & (F.col("__k2") == stay["k2"]), "left_semi")
+    once = held.dropDuplicates(["__id", "__k1", "__k2"])
+    return once.union(keyed.where("__k1 is null")).select(*docs.columns)

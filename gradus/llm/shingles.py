@@ -65,11 +65,14 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-def parity(s: np.ndarray, bits: int = 512) -> np.ndarray:
-    """Of how many elements fall to each bit, the lowest digit, as signed 64-bit numbers.
+def parity(s: np.ndarray, least: int = 256) -> np.ndarray:
+    """Of how many elements fall to each bit, the lowest digit, as signed 64-bit numbers. There are
+    as many bits as elements, rounded up to a power of 2, and at least `least`.
 
     An element in one of two sets only flips one bit, so two sets differ in at least as many
-    elements as their parities differ in bits.
+    elements as their parities differ in bits. Halves, one xor the other, make the parity of half
+    the bits, so sets of different sizes can be compared.
     """
+    bits = max(least, 1 << int(len(s) - 1).bit_length())
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
     return np.packbits(odd).view(np.int64)
