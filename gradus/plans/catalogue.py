@@ -110,15 +110,15 @@ def group_advantage_threshold(spark, d):
     return rounded(evaluate.standardized(dense(spark, d), 0.02).select("task_id", "sample_index", "advantage"))
 
 
-@query("WITH g AS (SELECT l_orderkey AS t, l_discount AS r, l_returnflag = 'N' AS p, avg(l_discount) OVER w AS m, stddev_pop(l_discount) OVER w AS s FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)), k AS (SELECT t, sum(p::INT) AS c, count(*) AS n, any_value(s) AS s FROM g GROUP BY t), a AS (SELECT avg(r) AS mr, stddev_pop(r) AS sr, avg(abs(CASE WHEN s > 1e-8 THEN (r - m) / s ELSE 0 END)) AS ma FROM g), b AS (SELECT avg((c > 0 AND c < n)::INT) AS i, avg((s > 0)::INT) AS v FROM k) SELECT round(mr, 6) AS mean_reward, round(sr, 6) AS std_reward, round(ma, 4) AS mean_abs_advantage, round(i, 6) AS informative FROM a, b")
+@query("WITH g AS (SELECT l_orderkey AS t, l_discount AS r, l_returnflag = 'N' AS p, avg(l_discount) OVER w AS m, stddev_pop(l_discount) OVER w AS s FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)), k AS (SELECT t, sum(p::INT) AS c, count(*) AS n, any_value(s) AS s FROM g GROUP BY t), a AS (SELECT avg(r) AS mr, stddev_pop(r) AS sr, avg(abs(CASE WHEN s > 1e-8 THEN (r - m) / s ELSE 0 END)) AS ma FROM g), b AS (SELECT avg((c > 0 AND c < n)::INT) AS i, avg((s > 0)::INT) AS v FROM k) SELECT round(mr, 5) AS mean_reward, round(sr, 6) AS std_reward, round(ma, 4) AS mean_abs_advantage, round(i, 6) AS informative FROM a, b")
 def step_metrics(spark, d):
     got = evaluate.step_metrics(evaluate.standardized(dense(spark, d), 1e-8)).drop("with_variance")
-    return rounded(got.withColumn("mean_abs_advantage", F.round("mean_abs_advantage", 4)))
+    return rounded(got.withColumns({"mean_abs_advantage": F.round("mean_abs_advantage", 4), "mean_reward": F.round("mean_reward", 5)}))
 
 
-@query("WITH m AS (SELECT avg(l_discount) AS m FROM lineitem), x AS (SELECT l_discount - m AS a, 1 + (l_linenumber % 5 - 2) * 0.08::DOUBLE AS r, l_discount AS d FROM lineitem, m) SELECT round(avg(d), 6) AS mean_reward, round(avg(least(r * a, greatest(0.8, least(1.2, r)) * a)), 6) AS objective, round(avg((abs(r - 1) > 0.2)::INT), 6) AS clip_fraction, round(avg(a * a) * 0.5, 6) AS value_loss FROM x")
+@query("WITH m AS (SELECT avg(l_discount) AS m FROM lineitem), x AS (SELECT l_discount - m AS a, 1 + (l_linenumber % 5 - 2) * 0.08::DOUBLE AS r, l_discount AS d FROM lineitem, m) SELECT round(avg(d), 5) AS mean_reward, round(avg(least(r * a, greatest(0.8, least(1.2, r)) * a)), 6) AS objective, round(avg((abs(r - 1) > 0.2)::INT), 6) AS clip_fraction, round(avg(a * a) * 0.5, 6) AS value_loss FROM x")
 def critic_smoke_step(spark, d):
-    return rounded(evaluate.clipped_smoke_step(dense(spark, d)))
+    return rounded(evaluate.clipped_smoke_step(dense(spark, d)).withColumn("mean_reward", F.round("mean_reward", 5)))
 
 
 @query("WITH p AS (SELECT l_orderkey, l_linenumber, l_discount, l_returnflag = 'N' AS ok, row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_linenumber = 2) DESC, l_linenumber, l_discount, l_returnflag = 'N') AS rn FROM lineitem), o AS (SELECT o_orderkey, o_orderstatus = 'F' AS ok, o_totalprice FROM orders) SELECT l_orderkey AS task_id, p.ok AS base_passed, o.ok AS candidate_passed, round(l_discount, 6) + 0.0 AS base_reward, round(o_totalprice, 6) AS candidate_reward FROM p JOIN o ON l_orderkey = o_orderkey WHERE rn = 1")
@@ -339,10 +339,10 @@ def trace_kpis(spark, d):
     return rounded(traces.kpis(conversation_traces(spark, d), "assistant", lambda s: s["kind"] == "user"))
 
 
-@query("SELECT conv_id, (min_by(turn, turn) FILTER (role = 'user'))::BIGINT AS first_user, (max_by(turn, turn) FILTER (role = 'assistant'))::BIGINT AS last_assistant, count(*) AS steps FROM conversations GROUP BY 1")
+@query("SELECT conv_id, coalesce(min(turn) FILTER (role = 'user'), -1)::BIGINT AS first_user, coalesce(max(turn) FILTER (role = 'assistant'), -1)::BIGINT AS last_assistant, count(*) AS steps FROM conversations GROUP BY 1")
 def trace_first_last(spark, d):
     s = F.col("steps")
-    return rounded(conversation_traces(spark, d).select("conv_id", traces.first_step(s, "user")["position"].alias("first_user"), traces.last_step(s, "assistant")["position"].alias("last_assistant"), F.size(s).alias("steps")))
+    return rounded(conversation_traces(spark, d).select("conv_id", F.coalesce(traces.first_step(s, "user")["position"], F.lit(-1)).alias("first_user"), F.coalesce(traces.last_step(s, "assistant")["position"], F.lit(-1)).alias("last_assistant"), F.size(s).alias("steps")))
 
 
 EMB = "WITH e AS (SELECT vec_id, label, i - 1 AS p, v::DOUBLE AS v FROM (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings))"
