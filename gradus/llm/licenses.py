@@ -23,7 +23,8 @@ TEMPLATES = {
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "cc-by-4.0-notice": "Licensed under CC BY 4.0.",
-    "mit-notice": "Licensed under the MIT License.",
+    "mit-notice": "Released under the MIT License.",
+    "mit-notice-licensed": "Licensed under the MIT License.",
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -75,8 +76,8 @@ def align(text: np.ndarray, template: np.ndarray, shift: int, band: int) -> tupl
 class Templates:
     """Words, fingerprints and lengths of the templates."""
 
-    def __init__(self, texts: dict[str, str], gram: int = 3, window: int = 2, band: int = 12):
-        self.gram, self.window, self.band = gram, window, band
+    def __init__(self, texts: dict[str, str], gram: int = 3, window: int = 2, band: int = 12, whole_below: int = 10):
+        self.gram, self.window, self.band, self.whole_below = gram, window, band, whole_below
         self.word: dict[str, int] = {}
         self.names = sorted(texts)
         self.words = [np.array([self.word.setdefault(w, len(self.word)) for w in _WORD.findall(texts[n].lower())], dtype=np.int64) for n in self.names]
@@ -115,25 +116,27 @@ class Templates:
         for k, hits in sorted(seeds.items()):
             hits.sort()
             template = self.words[k]
+            band = min(self.band, 1 + len(template) // 4)
             while hits:
                 # Seeds within a band's width belong to one occurrence.
-                near = [h for h in hits if h[0] <= hits[0][0] + self.band]
-                hits = [h for h in hits if h[0] > hits[0][0] + self.band]
+                near = [h for h in hits if h[0] <= hits[0][0] + band]
+                hits = [h for h in hits if h[0] > hits[0][0] + band]
                 shift = near[len(near) // 2][0]
-                start = max(0, shift - self.band)
-                part = words[start : shift + len(template) + self.band + 1]
-                matched, first, last = align(part, template, shift - start, self.band)
-                if matched >= least * len(template):
+                start = max(0, shift - band)
+                part = words[start : shift + len(template) + band + 1]
+                matched, first, last = align(part, template, shift - start, band)
+                # In a short notice the one word that differs is likely the license's name.
+                if matched >= (len(template) if len(template) < self.whole_below else least * len(template)):
                     if spans is None:
                         spans = [m.span() for m in _WORD.finditer(text if len(text.lower()) == len(text) else text.lower())]
-                    found.append((self.names[k], matched / len(template), spans[start + first][0], spans[start + last][1], len(near)))
-        return _without_inner(found)
+                    found.append((self.names[k], matched / len(template), spans[start + first][0], spans[start + last][1], len(near), matched))
+        return [f[:5] for f in _without_inner(found)]
 
 
 def _without_inner(found: list[tuple]) -> list[tuple]:
-    """An occurrence within a longer one of another template, or one seen twice, isn't told again."""
+    """An occurrence within a longer one, or with fewer words of the same span, isn't told again."""
     out: list[tuple] = []
-    for f in sorted(set(found), key=lambda f: (f[2] - f[3], -f[1], f[0], f[2])):
+    for f in sorted(set(found), key=lambda f: (f[2] - f[3], -f[5], -f[1], f[0], f[2])):
         if not any(o[2] <= f[2] and f[3] <= o[3] for o in out):
             out.append(f)
     return sorted(out, key=lambda f: (f[2], f[0]))
@@ -142,7 +145,8 @@ def _without_inner(found: list[tuple]) -> list[tuple]:
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, max_template_bytes: int = 32 << 20, **kwargs) -> DataFrame:
     """doc_id, template, coverage, span_start, span_end (characters), fingerprints of each license in docs.
 
-    Coverage is the share of the template's words that the alignment matches. Null or empty
+    Coverage is the share of the template's words that the alignment matches: at least `least`, and all
+    of them in templates of fewer than whole_below words. Null or empty
     texts hold none; repeated rows each have their rows; an empty table gives an empty result.
     Templates above max_template_bytes are refused: they go to every executor.
     """

@@ -261,12 +261,12 @@ def test_licenses(spark, empty):
     texts = [
         (0, f"{prose(rng, 50)}\nLicensed under the Apache License, Version 2.0.\n{prose(rng, 50)}"),
         (1, prose(rng, 30) + " " + " ".join(w for i, w in enumerate(mit) if i % 15 != 7) + " " + prose(rng, 9)),
-        (2, prose(rng, 300)), (3, None), (4, ""), (5, "licensed under the"),
+        (2, prose(rng, 300)), (3, None), (4, ""), (5, "licensed under the"), (7, "Licensed under the Foo License."), (8, "x\nReleased under the MIT License. y"),
         (6, "Licensed under CC BY-NC 4.0. " * 2),
     ]
     rows = licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     got = {(r.doc_id, r.template) for r in rows}
-    assert got == {(0, "apache-2.0-notice"), (1, "mit"), (6, "cc-by-nc-4.0-notice")}
+    assert got == {(0, "apache-2.0-notice"), (1, "mit"), (6, "cc-by-nc-4.0-notice"), (8, "mit-notice")}
     first = next(r for r in rows if r.doc_id == 0)
     assert texts[0][1][first.span_start : first.span_end] == "Licensed under the Apache License, Version 2.0" and first.coverage == 1
     assert 0.9 < next(r.coverage for r in rows if r.doc_id == 1) < 1
