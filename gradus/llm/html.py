@@ -15,6 +15,7 @@ from __future__ import annotations
 import html as entities
 import re
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -129,32 +130,41 @@ def _text_token(path: str, text: str) -> int:
     return _hash("text", path, text)
 
 
-_SEEN = "host string, token long, is_text boolean, pages long, vector long, first_low long, first_high long, last_low long, last_high long"
+_SEEN = "host string, token long, is_text boolean, pages double, vector long, first_low long, first_high long, last_low long, last_high long, plain double, chars double, room double"
 
 
 def _tokens(batches):
-    """Tokens of pages, summed up by host and token for each batch."""
+    """Tokens of pages, summed up by host and token for each batch; n equal pages count as one.
+
+    plain counts the pages without article where a token is free text, chars its length on them,
+    room all of their free text."""
     names = [x.split()[0] for x in _SEEN.split(", ")]
-    kinds = [{"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[x.split()[1]] for x in _SEEN.split(", ")]
+    kinds = [{"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}[x.split()[1]] for x in _SEEN.split(", ")]
     for batch in batches:
         sums: dict[tuple, list[int]] = {}
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for host, page, copies in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             found = parse(page)
             here: dict[tuple, list[int]] = {}
+            weight = 1 / copies
+            plain = not any(main and not aside for _, text, aside, main in found if text is not None)
+            room = sum(len(text) for _, text, aside, _ in found if text is not None and not aside) if plain else 0
             size = len(found)
-            for at, (path, text, _, _) in enumerate(found):
+            for at, (path, text, aside, _) in enumerate(found):
                 token = _hash("tag", path) if text is None else _text_token(path, text)
-                c = here.setdefault((token, text is not None), [0, at, at])
+                c = here.setdefault((token, text is not None), [0, at, at, 0])
                 c[0] += 1
                 c[2] = at
+                c[3] += len(text) if text is not None and plain and not aside else 0
             name = _hash("page", page)
-            for (token, kind), (count, first, last) in here.items():
-                s = sums.setdefault((host, token, kind), [0, 0, first, first, size - last, size - last])
-                s[0] += 1
+            for (token, kind), (count, first, last, chars) in here.items():
+                s = sums.setdefault((host, token, kind), [0.0, 0, first, first, size - last, size - last, 0.0, 0.0, 0.0])
+                s[0] += weight
+                if chars:
+                    s[6], s[7], s[8] = s[6] + weight, s[7] + weight * chars, s[8] + weight * room
                 s[1] = (s[1] + _hash(name, count)) & (2**64 - 1)
                 s[2], s[3], s[4], s[5] = min(s[2], first), max(s[3], first), min(s[4], size - last), max(s[5], size - last)
         rows = [(*k, s[0], s[1] - (1 << 64) if s[1] >> 63 else s[1], *s[2:]) for k, s in sums.items()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 9, kinds, strict=True)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 12, kinds, strict=True)], names=names)
 
 
 def _precedes(a, b) -> bool:
@@ -167,11 +177,12 @@ def _nest(tokens: pd.DataFrame) -> pd.DataFrame:
 
     Classes come in order of how many pages have them; the skeleton holds the tokens of those
     taken so far, and a class is nested where all its tokens lie between the same tokens of it.
+    What _believed rejects is left out.
     """
     total = int(tokens["total"].iloc[0])
     skeleton: list = []
     out = []
-    for _, rows in sorted(tokens.groupby(["pages", "vector"]), key=lambda g: (-g[0][0], g[0][1])):
+    for _, rows in sorted(tokens[tokens["pages"] >= tokens["least"]].groupby(["pages", "vector"]), key=lambda g: (-g[0][0], g[0][1])):
         order = sorted(rows.itertuples(index=False), key=lambda r: (r.first_low + r.first_high, -r.last_low, r.token))
         if not all(_precedes(a, b) for a, b in zip(order, order[1:], strict=False)):
             # Tags repeat within a page; what is left of the class may still keep its order.
@@ -180,24 +191,46 @@ def _nest(tokens: pd.DataFrame) -> pd.DataFrame:
                 continue
         if all(_precedes(t, s) or _precedes(s, t) for s in skeleton for t in order):
             skeleton += order
-            out += [(r.host, r.token, r.pages == total) for r in order if r.is_text]
-    return pd.DataFrame(out, columns=["host", "token", "on_all"])
+            out += [r for r in order if r.is_text]
+    others = tokens[tokens["is_text"] & (tokens["pages"] < total) & (tokens["plain"] > 0)]
+    on_all, some = _believed([r for r in out if r.pages == total], [r for r in out if r.pages < total], others)
+    return pd.DataFrame([*((r.host, r.token, True) for r in on_all), *((r.host, r.token, False) for r in some)], columns=["host", "token", "on_all"])
+
+
+def _believed(on_all: list, some: list, others: pd.DataFrame, least_left: float = 0.2) -> tuple[list, list]:
+    """The tokens that aren't the text of pages that nearly copy one another.
+
+    Outside articles: tokens on all pages that would leave less than least_left of the text, and
+    those on some that with all other such tokens, valid or not, would leave less than half of what the pages that have
+    them say besides the former. Tokens count as on the same pages as far as their numbers allow.
+    """
+    shared = [r for r in on_all if r.plain > 0]
+    if shared and sum(r.chars for r in shared) > (1 - least_left) * max(r.room for r in shared):
+        on_all, shared = [r for r in on_all if r.plain == 0], []
+    fixed = sum(r.chars / r.plain for r in shared)
+    free = [r for r in some if r.plain > 0]
+    plain, each = others["plain"].to_numpy(), (others["chars"] / others["plain"]).to_numpy()
+    return on_all, [r for r in free if 2 * (each * np.minimum(plain, r.plain)).sum() <= r.room - fixed * r.plain]
 
 
 def templates(pages: DataFrame, least_pages: int = 8, least_share: float = 0.5) -> DataFrame:
     """host, on_all and some: text tokens of the template that all pages of the host have, and
-    those on at least least_share of them. Hosts with fewer than least_pages different pages get
-    no template. What is grouped by host is template tokens only: each is on half of its pages,
-    so there are no more of them than twice what a page has."""
+    those on at least least_share of its different pages. Hosts with fewer than least_pages of
+    them get no template. What is grouped by host is each on a quarter of its pages at
+    least, so there are no more of them than four times what a page has."""
     page = F.coalesce("html", F.lit(""))
-    once = pages.select(_host().alias("host"), F.sha1(page.cast("binary")).alias("sha")).groupBy("host", "sha").agg(F.count("*").alias("n"))
-    hosts = once.groupBy("host").agg(F.count("*").alias("different"), F.sum("n").alias("total")).where(F.col("different") >= least_pages)
-    hosts = keep(hosts.drop("different"), "hosts")
-    seen = pages.select(_host().alias("host"), page.alias("html")).mapInArrow(_tokens, _SEEN)
+    named = pages.select(_host().alias("host"), page.alias("html"))
+    once = keep(named.groupBy("host", F.xxhash64("html").alias("name")).agg(F.count("*").alias("copies")), "once")
+    hosts = keep(once.groupBy("host").agg(F.count("*").alias("total")).where(F.col("total") >= least_pages), "hosts")
+    copies = keep(once.where("copies > 1"), "copies")
+    weighed = named.withColumn("name", F.xxhash64("html")).join(copies, ["host", "name"], "left").select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
+    seen = weighed.mapInArrow(_tokens, _SEEN)
     sums = seen.groupBy("host", "token", "is_text").agg(
-        F.sum("pages").alias("pages"), _wrapping_sum("vector").alias("vector"), F.min("first_low").alias("first_low"), F.max("first_high").alias("first_high"), F.min("last_low").alias("last_low"), F.max("last_high").alias("last_high")
-    )
-    found = sums.join(hosts, "host").where(F.col("pages") >= F.col("total") * least_share)
+        F.round(F.sum("pages")).cast("long").alias("pages"), _wrapping_sum("vector").alias("vector"), F.min("first_low").alias("first_low"), F.max("first_high").alias("first_high"), F.min("last_low").alias("last_low"), F.max("last_high").alias("last_high"),
+        F.sum("plain").alias("plain"), F.sum("chars").alias("chars"), F.sum("room").alias("room"),
+    )
+    # What half as many pages have tells copies only.
+    found = sums.join(hosts, "host").withColumn("least", F.col("total") * F.lit(float(least_share))).where(2 * F.col("pages") >= F.col("least"))
     kept = found.groupBy("host").applyInPandas(_nest, "host string, token long, on_all boolean")
     return keep(kept.groupBy("host").agg(F.collect_set(F.when(F.col("on_all"), F.col("token"))).alias("on_all"), F.collect_set(F.when(~F.col("on_all"), F.col("token"))).alias("some")), "templates")
 
@@ -213,18 +246,19 @@ def _host():
 
 
 def main_text(page: str | None, on_all: set[int], some: set[int]) -> str:
-    """The text in the slots of the template. Without an article or main element, all blocks that are
-    neither asides nor template text. A template that would leave less than half of an article
-    isn't believed within it: then the pages of the host are copies of one another."""
-    free = [(path, text, main) for path, text, aside, main in parse(page) if text is not None and not aside]
-    article = [(path, text) for path, text, main in free if main]
+    """The text of the article or main elements less asides, or without such an element all blocks
+    that are neither asides nor template text. A template that would leave less than half of an
+    article isn't believed within it: then the pages of the host are copies of one another.
+    Outside articles tokens of some pages aren't believed if they would leave less than half of
+    what those of all pages leave; the latter always go."""
+    free = [(_text_token(path, text) if on_all or some else 0, text, main) for path, text, aside, main in parse(page) if text is not None and not aside]
+    article = [(t, text) for t, text, main in free if main]
     if article:
-        slots = [text for path, text in article if _text_token(path, text) not in on_all] if on_all else [t for _, t in article]
-        whole = [text for _, text in article]
-        return "\n\n".join(slots if 2 * sum(map(len, slots)) >= sum(map(len, whole)) else whole)
-    slots = [text for path, text, _ in free if (t := _text_token(path, text)) not in on_all and t not in some] if on_all or some else [t for _, t, _ in free]
-    whole = [text for _, text, _ in free]
-    return "\n\n".join(slots if slots else whole)
+        whole, slots = [text for _, text in article], [text for t, text in article if t not in on_all]
+    else:
+        rest = [(t, text) for t, text, _ in free if t not in on_all]
+        whole, slots = [text for _, text in rest], [text for t, text in rest if t not in some]
+    return "\n\n".join(slots if 2 * sum(map(len, slots)) >= sum(map(len, whole)) else whole)
 
 
 def extract(pages: DataFrame, **kwargs) -> DataFrame:

@@ -429,3 +429,20 @@ def test_template_text_goes(spark):
     assert all(got[100 + i].text == "same text for all" for i in range(12))
     assert got[200].text == "Kept\n\n0" and got[300].text == ""
     assert html.extract(df.limit(0)).count() == 0
+
+
+def test_copies_are_no_template(spark):
+    rng = random.Random(7)
+    page = lambda body: f"<body><div><p>Welcome to our site</p></div><div>{body}</div><div><p>All rights reserved</p></div></body>"
+    shared = [prose(rng, 40) for _ in range(4)]
+    hot = "".join(f"<p>{x}</p>" for x in shared)
+    near = [(i, "https://near.example/", page(f"<p>Day {i}</p>{hot}")) for i in range(14)]
+    quoting = [(50 + i, "https://near.example/", page(f"<p>{prose(rng, 60)}</p>" + f"<p>{shared[i % 4]}</p>" * (i < 4))) for i in range(12)]
+    exact = [(100 + i, "https://exact.example/", page(hot)) for i in range(30)] + [(150 + i, "https://exact.example/", page(f"<p>{prose(rng, 60)}</p>")) for i in range(9)]
+    only = [(200 + i, "https://only.example/", page(f"<p>Day {i}</p>{hot}")) for i in range(12)]
+    empty = [(300, "https://near.example/", page(""))]
+    rows = [*near, *quoting, *exact, *only, *empty]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, url, text in rows:
+        blocks = re.findall("<p>(.*?)</p>", text)
+        assert got[i].split("\n\n") == (blocks if "only" in url else blocks[1:-1] or [""]), i
