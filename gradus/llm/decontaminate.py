@@ -53,6 +53,7 @@ class Index:
         self.longest = max((len(q) + len(a) for _, q, a in items), default=1)
         self.question = [_grams(q, width) for _, q, _ in items]
         self.answer = [_grams(a, width) for _, _, a in items]
+        self.parts = [(q, a) for _, q, a in items]
         self.sizes = [(min(width, len(q)), min(width, len(a))) for _, q, a in items]
         self.term: dict[str, int] = {}
         posts: list[dict[int, float]] = []
@@ -116,6 +117,38 @@ class Index:
                     scores[at] += post[at]
         return [(at, v) for at, v in scores.items() if v >= self.threshold - 1e-9]
 
+    def near(self, at: int, words: list[str], start: int, held: tuple[float, float], least: tuple[float, float]) -> tuple[float, float, bool]:
+        """Overlaps of question and answer, and whether the passage holds the item, where one edited word
+        can take a part under its share of grams.
+
+        Such a part is aligned word by word with where it must lie by the item's other grams that
+        the passage has; its overlap is the share of words found in order. Of a part of two words
+        one is enough if the other part is whole.
+        """
+        low = [k for k in (0, 1) if held[k] < least[k]]
+        if any(len(grams := (self.question, self.answer)[k][at]) - self.width >= least[k] * len(grams) or len(self.parts[at][k]) < 2 for k in low):
+            return *held, False
+        offsets: dict[tuple, list[int]] = {}
+        for k, part in enumerate(self.parts[at]):
+            w = self.sizes[at][k]
+            for i in range(len(part) - w + 1 if w else 0):
+                offsets.setdefault(tuple(part[i : i + w]), []).append(i + k * len(self.parts[at][0]))
+        begins: Counter = Counter()
+        for w in {*self.sizes[at]} - {0}:
+            for i in range(start, min(len(words), start + 2 * self.longest) - w + 1):
+                begins.update(i - o for o in offsets.get(tuple(words[i : i + w]), ()))
+        best = (*held, False)
+        for begin, _ in begins.most_common(8):
+            now, enough = list(held), True
+            for k in low:
+                part = self.parts[at][k]
+                first = begin + k * len(self.parts[at][0])
+                same = _in_order(part, words[max(0, first - 1) : max(0, first + len(part) + 1)])
+                now[k] = max(held[k], same / len(part))
+                enough &= now[k] >= least[k] or len(part) == 2 and same == 1 and held[1 - k] == 1
+            best = max(best, (*now, enough), key=lambda x: (x[2], x[0] + x[1]))
+        return best
+
     def hits(self, text: str | None, question: float, answer: float) -> list[tuple]:
         """(item_id, score, question overlap, answer overlap, first word) of the items in a text."""
         words = _WORD.findall(text.lower()) if text else []
@@ -128,11 +161,24 @@ class Index:
             part = words[start : start + 2 * self.longest]
             for at, score in self.search(inside, blocks):
                 q, a = (len(have & _grams_of(part, w)) / len(have) if have else 1.0 for have, w in zip((self.question[at], self.answer[at]), self.sizes[at], strict=True))
-                if q >= question and a >= answer and (at not in best or (q + a, score) > best[at][:2]):
+                found = q >= question and a >= answer
+                if not found:
+                    q, a, found = self.near(at, words, start, (q, a), (question, answer))
+                if found and (at not in best or (q + a, score) > best[at][:2]):
                     best[at] = (q + a, score, q, a, start)
         return [(self.ids[at], score, q, a, start) for at, (_, score, q, a, start) in sorted(best.items())]
 
 
+def _in_order(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
 def _grams_of(words: list[str], width: int) -> set:
     return set(zip(*(words[k:] for k in range(width)), strict=False))
 
@@ -168,7 +214,8 @@ def indexes(items: DataFrame, threshold: float = 0.5, block_bytes: int = 16 << 2
 
 def contaminated(docs: DataFrame, items: DataFrame, question: float = 0.6, answer: float = 0.6, **kwargs) -> DataFrame:
     """doc_id and item_id of documents that hold a test item, with the BM25 share of the
-    passage, the shares of question and answer 3-grams that it holds, and where it starts.
+    passage, the shares of question and answer 3-grams that it holds, and where it starts. For
+    parts so short that one edited word takes most of their 3-grams, words in order count.
 
     Every passage of every whole text is a query. Null or empty texts hold nothing; repeated
     rows each have their rows in the result; an empty table of either kind gives an empty result.

@@ -235,6 +235,31 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contaminated(empty, b).count() == 0 and decontaminate.contaminated(d, b.limit(0)).count() == 0
 
 
+def test_items_with_an_edited_word_are_found(spark):
+    rng = random.Random(9)
+    items, texts = [], []
+    for n in range(2, 15):
+        q, a = [f"q{n}x{i}" for i in range(12)], [f"a{n}x{i}" for i in range(n)]
+        # An answer of two words is the last third of a text without sentence ends.
+        items.append((n, " ".join(q) + ". " + " ".join(a) if n > 2 else " ".join([*q[:5], *a])))
+        q = q if n > 2 else q[:5]
+        edits = [[*a[:k], *put, *a[k + cut :]] for k in range(n) for put, cut in ((["new"], 1), ([], 1), (["new"], 0))]
+        short = [] if n > 9 else [[*a[:k], "new", *a[k + 1 :]] for k in range(n)]
+        texts += [(n, prose(rng, 40).split() + q + e + prose(rng, 40).split()) for e in edits]
+        if n > 2:  # a short question
+            items.append((100 + n, " ".join(a) + ". " + " ".join(f"r{n}x{i}" for i in range(12))))
+            texts += [(100 + n, prose(rng, 30).split() + e + [f"r{n}x{i}" for i in range(12)]) for e in short]
+        texts += [(None, prose(rng, 40).split() + q + prose(rng, 40).split()), (None, q + prose(rng, n).split() + a[:1] + prose(rng, 40).split()) if n > 2 else (None, q)]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got: dict = {}
+    for r in decontaminate.contaminated(d, b).collect():
+        got.setdefault(r.doc_id, set()).add(r.item_id)
+    for i, (want, t) in enumerate(texts):
+        have = got.get(i, set())
+        assert want in have if want is not None else not have, (want, " ".join(t))
+
+
 def test_all_items_above_the_threshold_are_retrieved():
     rng = random.Random(4)
     items = [(i, *decontaminate.split_item(prose(rng, rng.randint(8, 30)))) for i in range(60)]
