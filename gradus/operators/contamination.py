@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,13 +35,42 @@ def exact_overlap(train: DataFrame, evals: DataFrame) -> DataFrame:
     return a.join(b, "norm").select("id_a", "id_b", F.lit("exact_duplicate").alias("kind"), F.lit(1.0).alias("score"))
 
 
+def _masks(text: str) -> dict[str, int]:
+    masks: dict[str, int] = {}
+    for i, c in enumerate(text):
+        masks[c] = masks.get(c, 0) | 1 << i
+    return masks
+
+
+def _in_order(masks: dict[str, int], size: int, text: str) -> int:
+    """Length of the longest common subsequence of text and the text of size letters with masks."""
+    full = rest = (1 << size) - 1
+    get = masks.get
+    for c in text:
+        both = rest & get(c, 0)
+        rest = (rest + both | rest - both) & full
+    return size - rest.bit_count()
+
+
 @late("double")
 def _ratio(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
-    def one(x: str, y: str, low: float) -> float | None:
-        m = SequenceMatcher(None, x, y)
-        return m.ratio() if m.real_quick_ratio() >= low and m.quick_ratio() >= low else None
-
-    return pd.Series([one(x, y, low) for x, y, low in zip(a, b, least, strict=True)])
+    """Matching ratios of at least least, null for others: common letters, then the longest common
+    subsequence bound what blocks can match, so most pairs need no matching."""
+    (ia, ua), (ib, ub) = pd.factorize(a), pd.factorize(b)
+    counts = lambda texts: np.stack([np.bincount(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8) & 63, minlength=64) for t in texts]).astype(np.int32)
+    out: list[float | None] = [None] * len(a)
+    if len(a):
+        common = np.minimum(counts(ua)[ia], counts(ub)[ib]).sum(axis=1)
+        sizes = np.array([len(t) for t in ua])[ia] + np.array([len(t) for t in ub])[ib]
+        ma, mb = [None] * len(ua), [None] * len(ub)
+        for k in np.flatnonzero(2.0 * common >= least.to_numpy() * sizes - 1e-6).tolist():
+            x, y, low = ua[ia[k]], ub[ib[k]], least.iloc[k]
+            (m, at, long, short) = (ma, ia[k], x, y) if len(x) > len(y) else (mb, ib[k], y, x)
+            if m[at] is None:
+                m[at] = _masks(long)
+            if 2.0 * _in_order(m[at], len(long), short) / (len(x) + len(y)) >= low:
+                out[k] = SequenceMatcher(None, x, y).ratio()
+    return pd.Series(out, dtype="float64")
 
 
 def near_overlap(train: DataFrame, evals: DataFrame, threshold: float = 0.92) -> DataFrame:
@@ -48,7 +78,8 @@ def near_overlap(train: DataFrame, evals: DataFrame, threshold: float = 0.92) ->
 
     The ratio is at most twice the shorter length over both, so lengths must be close: texts are
     joined by buckets of the logarithm of length, train texts in three neighbouring ones. Within a
-    pair, counts of letters bound the ratio before it is computed. No pair is lost.
+    pair, common letters and the longest common subsequence bound the ratio before it is computed.
+    No pair is lost.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
@@ -58,10 +89,6 @@ def near_overlap(train: DataFrame, evals: DataFrame, threshold: float = 0.92) ->
     b = evals.select(F.col("id").alias("id_b"), normalize_prose(F.col("text")).alias("norm")).where("norm <> ''").withColumn("b", bucket).withColumnRenamed("norm", "nb")
     la, lb = F.length("na"), F.length("nb")
     near = a.join(b, "b").where((F.col("na") != F.col("nb")) & (2 * F.least(la, lb) >= threshold * (la + lb)))
-    letters = [F.lit(c) for c in "etaoinshr d"]
-    count = lambda x, c: F.length(x) - F.length(F.replace(x, c, F.lit("")))
-    differ = sum((F.abs(count(F.col("na"), c) - count(F.col("nb"), c)) for c in letters), F.lit(0))
-    near = near.where(la + lb - differ >= threshold * (la + lb))
     return near.select("id_a", "id_b", F.lit("near_duplicate").alias("kind"), _ratio("na", "nb", F.lit(threshold)).alias("score")).where(F.col("score") >= threshold)
 
 

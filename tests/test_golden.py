@@ -129,6 +129,28 @@ def test_near_overlap_loses_no_pair(spark):
     assert got == want
 
 
+def test_near_copies_of_items_among_documents_are_found(spark, tmp_path):
+    import random
+
+    from gradus.plans import catalogue
+
+    rng = random.Random(2)
+    some = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    items = [some(rng.randint(5, 60)) for _ in range(12)]
+    docs = [some(rng.randint(1, 120)) for _ in range(30)]
+    for t in items:
+        for cut in (1, 2, 4):
+            words = t.split()
+            for _ in range(len(words) // (3 * cut)):
+                words[rng.randrange(len(words))] = some(1)
+            docs.append(" ".join(words))
+    spark.createDataFrame([*enumerate([*docs, items[0], "", None])], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*enumerate([*items, "", None])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.id_a, r.id_b): r.score for r in catalogue.contamination_near(spark, str(tmp_path)).collect()}
+    want = {(i, j): s for i, a in enumerate(docs) for j, b in enumerate(items) if a != b and (s := SequenceMatcher(None, a, b).ratio()) >= 0.6}
+    assert got == want and len(got) >= 10
+
+
 def test_code():
     assert code.extract_one("x\n```python\ndef f(): pass\n```")[:3] == ("def f(): pass\n", "ok", "fenced:python:1")
     assert code.extract_one("")[1] == "empty" and code.extract_one("def f(:")[1] == "syntax_error"
