@@ -25,7 +25,6 @@ from gradus.llm.common import keep, shared_dir
 VERSION = b"WARC/1.1"
 _LINE = re.compile(rb"WARC/1\.[01]\r?\n")
 _MAGIC = b"\x1f\x8b\x08"
-MAX_HEADER = 1 << 16
 
 
 def digest32(payload: bytes) -> str:
@@ -77,7 +76,7 @@ def decode(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     m = _LINE.match(data, at)
     if not m:
         raise Damaged("no version line")
-    stop = data.find(b"\r\n\r\n", m.end() - 2, m.end() + MAX_HEADER)
+    stop = data.find(b"\r\n\r\n", m.end() - 2)
     if stop < 0:
         raise Damaged("no end of headers")
     headers = {}
@@ -105,11 +104,12 @@ def decode(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
 class Salvage:
     """Iterates over the intact records of an archive; gaps has what was quarantined.
 
-    File is anything with read(size). Whole members are held one at a time, at most limit bytes.
+    File is anything with read(size). Whole members are held one at a time. Headers may be of any
+    length; a record above limit, more than a row of Spark can hold, is a gap.
     """
 
     file: object
-    limit: int = 1 << 28
+    limit: int = 1 << 32
     chunk: int = 1 << 20
     gaps: list[Gap] = field(default_factory=list)
 
@@ -179,13 +179,23 @@ class Salvage:
 
     def _plain(self, at: int) -> tuple[Record, int]:
         pos = at - self._base
-        self._need(pos + MAX_HEADER)
-        m = re.compile(rb"\r\n[Cc]ontent-[Ll]ength:\s*(\d+)\s*\r\n").search(self._data, pos, pos + MAX_HEADER)
-        if m and _LINE.match(self._data, pos):
-            want = int(m[1])
+        m = _LINE.match(self._data, pos)
+        if not m:
+            raise Damaged("no version line")
+        seen = m.end() - 2
+        while (stop := self._data.find(b"\r\n\r\n", seen)) < 0:
+            # What isn't a header needn't be read to the file's end.
+            if any(line and b":" not in line for line in self._data[m.end() :].split(b"\r\n")[:-1]):
+                raise Damaged("not a header")
+            seen = max(seen, len(self._data) - 3)
+            if not self._need(len(self._data) + 1):
+                raise Damaged("no end of headers")
+        length = re.compile(rb"\r\n[Cc]ontent-[Ll]ength:\s*(\d+)\s*\r\n").search(self._data, pos, stop + 2)
+        if length:
+            want = int(length[1])
             if want > self.limit:
                 raise Damaged("the record is too large")
-            self._need(pos + MAX_HEADER + want + 4)
+            self._need(stop + 4 + want + 4)
         headers, block, end = decode(self._data, pos)
         return Record(headers, block, at, self._base + end), self._base + end
 
@@ -258,11 +268,12 @@ def write(records: DataFrame, folder: str, compress: bool = True, max_bytes: int
 _READ = "path string, start long, end long, record_type string, record_id string, url string, refers_to string, payload_bytes long, payload_digest string, payload binary, error string"
 
 
-def read(paths: DataFrame, with_payload: bool = True) -> DataFrame:
+def read(paths: DataFrame, with_payload: bool = True, whole: bool = False) -> DataFrame:
     """A row for each intact record of the archives in the column path, and one with error for each gap.
 
     Archives are streamed; a task holds one record at a time. Payload digests are computed from
-    what was read; those of revisits, which have no payload, are taken from their headers.
+    what was read; those of revisits, which have no payload, are taken from their headers. With
+    whole, an archive that has gaps, or not as many records as its row in paths says, fails.
     """
 
     def told(h: dict[str, str], name: str) -> str | None:
@@ -277,11 +288,12 @@ def read(paths: DataFrame, with_payload: bool = True) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                rows, size = [], 0
+            for path, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows, size, count = [], 0, 0
                 with _open(path, "r") as f:
                     archive = Salvage(f)
                     for r in archive:
+                        count += 1
                         h, kind, body = r.headers, r.headers.get("WARC-Type"), r.payload
                         if kind == "revisit":
                             length = r.http("Content-Length")
@@ -293,11 +305,13 @@ def read(paths: DataFrame, with_payload: bool = True) -> DataFrame:
                         if size > 8 << 20 or len(rows) >= 4096:
                             yield pack(rows)
                             rows, size = [], 0
+                    if whole and (archive.gaps or count != want):
+                        raise ValueError(f"{path}: {count} of {want} records read, gaps: {[(g.start, g.end, g.why) for g in archive.gaps[:3]]}")
                     rows += [(path, g.start, g.end, *[None] * 7, g.why) for g in archive.gaps]
                 if rows:
                     yield pack(rows)
 
-    return paths.select("path").mapInArrow(run, _READ)
+    return paths.select("path", F.col("records") if whole else F.lit(None).cast("long").alias("records")).mapInArrow(run, _READ)
 
 
 def revisits(pages: DataFrame) -> DataFrame:
@@ -315,10 +329,10 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
     Null html: an empty payload. Null page_id: always a response. Repeated rows of the largest
     page_id of a payload: each is a response. An empty table gives an empty result. Extra columns
-    are not archived.
+    are not archived. It fails if not all records that were written are read.
     """
     spark = pages.sparkSession
     archives = write(revisits(pages), f"{shared_dir(spark)}/warc/{uuid.uuid4().hex}")
     n = max(1, min(archives.count(), 10_000))
-    back = read(archives.repartition(n), with_payload=False).where("error is null")
+    back = read(archives.repartition(n), with_payload=False, whole=True)
     return back.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))

@@ -396,6 +396,24 @@ def test_salvage(pack, chunk):
     assert sum(g.end - g.start for g in reader.gaps) == len(data) - sum(len(whole[i]) for i in got)
 
 
+@pytest.mark.parametrize("pack", [warc.member, bytes])
+@pytest.mark.parametrize("chunk", [64, 1 << 20])
+def test_headers_of_any_length(pack, chunk):
+    long = [warc.encode({"WARC-Record-ID": f"<urn:x-page:{i}>", "WARC-Target-URI": "data:," + "é" * n}, b"x" * 50) for i, n in enumerate((3, 200_000, 33_000, 5))]
+    data = b"".join(pack(r) for r in long)
+    reader = warc.Salvage(io.BytesIO(data), chunk=chunk)
+    assert [len(r.headers["WARC-Target-URI"]) - 6 for r in reader] == [3, 200_000, 33_000, 5] and not reader.gaps
+
+
+def test_round_trip_keeps_pages_with_long_urls_or_fails(spark):
+    df = spark.createDataFrame([(i, "data:," + "u" * n, f"<p>{i}</p>") for i, n in enumerate((5, 65_000, 66_000, 300_000))], "page_id long, url string, html string")
+    assert sorted(r.page_id for r in warc.round_trip(df).collect()) == [0, 1, 2, 3]
+    archives = warc.write(warc.revisits(df), f"{shared_dir(spark)}/warc/long")
+    assert warc.read(archives, whole=True).count() == 4
+    with pytest.raises(Exception, match="records read"):
+        warc.read(archives.selectExpr("path", "records + 1 AS records"), whole=True).collect()
+
+
 def test_archived_pages(spark):
     page = "<html>é</html>"
     rows = [(1, "http://a/x", page), (2, "http://a/y", page), (3, None, ""), (4, "u\r\nv", None), (5, "http://b", "z" * 300_000), (None, "n", page), (6, "r", "r"), (6, "r", "r"), (7, "http://a/x", page)]
