@@ -7,6 +7,7 @@ are scanned whole, in one pass and without a shuffle.
 from __future__ import annotations
 
 import re
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,35 @@ TEMPLATES = {
     "cc-by-4.0-notice": "Licensed under CC BY 4.0.",
     "mit-notice": "Released under the MIT License.",
     "mit-notice-licensed": "Licensed under the MIT License.",
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "bsd-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "gpl-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program",
+    "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program",
+    "lgpl-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library",
+    "lgpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this program",
+    "agpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program",
+    "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "lgpl-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "agpl-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "gpl-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "cc-by-sa-4.0-notice": "Licensed under CC BY-SA 4.0.",
+    "cc0-1.0-notice": "Licensed under CC0 1.0.",
+    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+}
+#: Complete texts, one file each.
+TEMPLATES |= {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in sorted((resources.files("gradus.llm") / "license_texts").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
+#: Words that tell a template from its variants: each of these runs must be in an occurrence as it is.
+COMPULSORY = {
+    "gpl-2.0-header": ["GNU General Public License", "version 2 of"], "gpl-3.0-header": ["GNU General Public License", "version 3 of"],
+    "lgpl-2.1-header": ["GNU Lesser General Public License", "version 2.1 of"], "lgpl-3.0-header": ["GNU Lesser General Public License", "version 3 of"],
+    "agpl-3.0-header": ["GNU Affero General Public License", "version 3 of"], "apache-2.0-header": ["Apache License, Version 2.0"], "mpl-2.0-header": ["Mozilla Public License, v. 2.0"],
+    "apache-2.0": ["Apache License Version 2.0, January 2004"], "artistic-1.0": ["Artistic License"], "cc0-1.0": ["CC0 1.0 Universal"], "mpl-1.1": ["Mozilla Public License Version 1.1"], "mpl-2.0": ["Mozilla Public License Version 2.0"],
+    "gfdl-1.2": ["GNU Free Documentation License Version 1.2"], "gfdl-1.3": ["GNU Free Documentation License Version 1.3"],
+    "gpl-1.0": ["GNU General Public License Version 1"], "gpl-2.0": ["GNU General Public License Version 2"], "gpl-3.0": ["GNU General Public License Version 3"],
+    "lgpl-2.0": ["GNU Library General Public License Version 2"], "lgpl-2.1": ["GNU Lesser General Public License Version 2.1"], "lgpl-3.0": ["GNU Lesser General Public License Version 3"],
+    "bsd-3-clause": ["may be used to endorse or promote products"],
 }
 
 
@@ -76,11 +101,13 @@ def align(text: np.ndarray, template: np.ndarray, shift: int, band: int) -> tupl
 class Templates:
     """Words, fingerprints and lengths of the templates."""
 
-    def __init__(self, texts: dict[str, str], gram: int = 3, window: int = 2, band: int = 12, whole_below: int = 10):
+    def __init__(self, texts: dict[str, str], gram: int = 3, window: int = 2, band: int = 12, whole_below: int = 20, compulsory: dict[str, list[str]] | None = None):
         self.gram, self.window, self.band, self.whole_below = gram, window, band, whole_below
         self.word: dict[str, int] = {}
         self.names = sorted(texts)
         self.words = [np.array([self.word.setdefault(w, len(self.word)) for w in _WORD.findall(texts[n].lower())], dtype=np.int64) for n in self.names]
+        must = COMPULSORY if compulsory is None else compulsory
+        self.must = [[np.array([self.word.setdefault(w, len(self.word)) for w in _WORD.findall(run.lower())], dtype=np.int64) for run in must.get(n, ())] for n in self.names]
         self.index: dict[int, list[tuple[int, int]]] = {}
         for k, words in enumerate(self.words):
             grams = self.grams(words)
@@ -116,7 +143,10 @@ class Templates:
         for k, hits in sorted(seeds.items()):
             hits.sort()
             template = self.words[k]
-            band = min(self.band, 1 + len(template) // 4)
+            band = min(max(self.band, len(template) // 50), 1 + len(template) // 4)
+            short = len(template) < self.whole_below
+            needed = len(template) if short else least * len(template)
+            own = np.bincount(template, minlength=len(self.word))
             while hits:
                 # Seeds within a band's width belong to one occurrence.
                 near = [h for h in hits if h[0] <= hits[0][0] + band]
@@ -124,15 +154,22 @@ class Templates:
                 shift = near[len(near) // 2][0]
                 start = max(0, shift - band)
                 part = words[start : shift + len(template) + band + 1]
+                # No alignment matches more words than both have.
+                if np.minimum(own, np.bincount(part[part >= 0], minlength=len(self.word))).sum() < needed:
+                    continue
                 matched, first, last = align(part, template, shift - start, band)
-                # In a short notice the one word that differs is likely the license's name.
-                if matched >= (len(template) if len(template) < self.whole_below else least * len(template)):
+                # In a short notice the one word that differs, or is put in, is likely the license's name.
+                if matched >= needed and not (short and last - first >= len(template)) and all(_has_run(part[first : last + 1], run) for run in self.must[k]):
                     if spans is None:
                         spans = [m.span() for m in _WORD.finditer(text if len(text.lower()) == len(text) else text.lower())]
                     found.append((self.names[k], matched / len(template), spans[start + first][0], spans[start + last][1], len(near), matched))
         return [f[:5] for f in _without_inner(found)]
 
 
+def _has_run(words: np.ndarray, run: np.ndarray) -> bool:
+    return len(words) >= len(run) and bool((np.lib.stride_tricks.sliding_window_view(words, len(run)) == run).all(axis=1).any())
+
+
 def _without_inner(found: list[tuple]) -> list[tuple]:
     """An occurrence within a longer one, or with fewer words of the same span, isn't told again."""
     out: list[tuple] = []
@@ -146,7 +183,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     """doc_id, template, coverage, span_start, span_end (characters), fingerprints of each license in docs.
 
     Coverage is the share of the template's words that the alignment matches: at least `least`, and all
-    of them in templates of fewer than whole_below words. Null or empty
+    of them, with none between, in templates of fewer than whole_below words. An occurrence has all
+    compulsory runs of its template. Null or empty
     texts hold none; repeated rows each have their rows; an empty table gives an empty result.
     Templates above max_template_bytes are refused: they go to every executor.
     """

@@ -299,6 +299,22 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_whole_licenses_and_their_variants():
+    t = licenses.Templates(licenses.TEMPLATES)
+    words = lambda x: re.findall(r"\w+", x.lower())
+    for name, text in licenses.TEMPLATES.items():
+        assert all(" ".join(words(run)) in " ".join(words(text)) for run in licenses.COMPULSORY.get(name, ())), name
+        got = t.scan(f"xx yy {text} zz", 0.8)
+        assert [(g[0], g[1]) for g in got] == [(name, 1.0)], (name, got)
+        assert words(f"xx yy {text} zz"[got[0][2] : got[0][3]]) == words(text)
+    tell = lambda x: {g[0] for g in t.scan(x, 0.8)}
+    gpl, head = licenses.TEMPLATES["gpl-3.0"], licenses.TEMPLATES["gpl-3.0-header"]
+    assert {"gpl-3.0"} == tell(gpl.replace("copyleft", "copy left")) and "gpl-3.0" not in tell(gpl.replace("GENERAL PUBLIC", "FOO GENERAL PUBLIC").replace("General Public", "Foo General Public"))
+    assert tell(head.replace("version 3", "version 9")) == set() == tell(head.replace("General", "Foo General"))
+    assert tell("This work is licensed under the GNU Foo General Public License, version 3.") == set() == tell("This work is licensed under the GNU General Public License, version 7.")
+    assert "WARRANTY" in licenses.TEMPLATES["mit"] and tell(licenses.TEMPLATES["mit"].split("THE SOFTWARE IS")[0]) == set()
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(2)
     for _ in range(50):
