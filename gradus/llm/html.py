@@ -3,8 +3,8 @@
 Tokens of a page are its tags and its blocks of text, told apart by the path they lie on. Over
 the pages of a host, tokens with the same occurrence vector form an equivalence class; classes
 whose tokens keep one order, and that fit between the tokens of the class around them, are
-valid and nest into the host's template. What a page has in the slots of the template, less the
-parts that are menus, adverts and the like by their tags, is its text.
+valid and nest into the host's template. A page's text is what tag rules leave of it, without
+menus, adverts and the like, less the template's blocks of text; slots are not extracted.
 
 Occurrence vectors are never built: a sum of hashes of (page, count) stands for one, so classes
 come from one aggregation, however many pages a host has.
