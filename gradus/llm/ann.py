@@ -73,15 +73,23 @@ class Tree:
         return order, d[order]
 
 
+def _slack(v: np.ndarray) -> float:
+    """Square of what projections of equal vectors may differ by: their last bits depend on the batch."""
+    v = np.asarray(v, dtype=float)
+    return float(1e-20 * (v @ v))
+
+
 def nearest(tree: Tree, ids: np.ndarray, points: np.ndarray, q_id: int, q: np.ndarray, q_low: np.ndarray, k: int, stop: float, bound: float) -> list[tuple[int, float]]:
     """The k nearest of the tree's points, in pairs (id, distance).
 
     Leaves are taken in growing runs; all points not yet seen are at least as far, projected, as
     the next leaf's box. stop is the chi-square quantile: the search ends when the square of
     that distance exceeds stop times the square of the k-th true distance found, here or before
-    (bound). At k-th distance 0 nothing is left to find but larger ids.
+    (bound). At k-th distance 0 nothing is left to find but larger ids. Projections of copies
+    may differ in their last bits, so leaves as near as that are always taken.
     """
     order, far = tree.leaves(q_low)
+    far = np.where(far <= _slack(q), 0.0, far)
     best_d, best_i = np.zeros(0), np.zeros(0, dtype=np.int64)
     at, run = 0, 1
     while at < len(order):
@@ -199,7 +207,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, dims: int = 8, confidence:
             out = {c: [] for c in ("cell", "part", "id", "v", "low", "bound")}
             for q in b.itertuples(index=False):
                 gap = np.maximum(0, np.maximum(box_low - q.low, q.low - box_high))
-                near = np.flatnonzero((gap**2).sum(axis=1) <= stop * q.bound**2)
+                near = np.flatnonzero((gap**2).sum(axis=1) <= stop * q.bound**2 + _slack(q.v))
                 for c in (order[i] for i in near):
                     for part in range(parts[c]):
                         for col, x in zip(out.values(), (c, part, q.id, q.v, q.low, q.bound), strict=True):

@@ -382,6 +382,20 @@ def test_nearest_neighbours(spark):
     assert ann.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_copies_whose_projections_differ_in_the_last_bits():
+    rng = np.random.default_rng(2)
+    v, base = rng.normal(size=64), rng.normal(size=8)
+    n = 3000
+    low = np.tile(base, (n, 1))
+    low[::3] = np.nextafter(base, 9)
+    low[1::3] = np.nextafter(base, -9)
+    tree, points = ann.Tree(low), np.tile(v, (n, 1))
+    assert len(tree.starts) > 2
+    for q_low in (base, np.nextafter(base, 9), np.nextafter(base, -9)):
+        for bound in (0.0, np.inf):
+            assert ann.nearest(tree, np.arange(n), points, 0, v, q_low, 10, 1.0, bound) == [(i, 0.0) for i in range(1, 11)]
+
+
 def test_chi_square():
     assert abs(float(ann.chi2_cdf(np.array(ann.chi2_quantile(0.95, 8)), 8)) - 0.95) < 1e-9
     assert abs(ann.chi2_quantile(0.95, 2) - 5.991464547) < 1e-6
