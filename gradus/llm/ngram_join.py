@@ -11,10 +11,12 @@ give is then min(given, size of the part); if that is too little, the record is
 signatures from another hash of the universe as well, up to LEVELS, and finally one for each
 shingle. A pair is found at the first level where one of the two isn't thin.
 
-Groups aren't expanded into pairs: records with equal sets are one node; in a signature's
-bucket each node is compared with the smallest one; only in buckets that still hold more than
-one component after that, nodes of different components are compared with one another. Every
-link lies within a component or has been checked, so components are exact.
+Groups aren't expanded into pairs. Records with equal sets are one node. The rows of a batch that
+share a signature are compared with the first of them, which alone goes on to the shuffle; there
+the first ones are compared with the smallest. Buckets that still hold more than one component
+are compared with a few random members at a time, until few enough pairs of different components
+are left to look at each. Every link lies within a component or has been checked, so
+components are exact.
 """
 
 from __future__ import annotations
@@ -23,17 +25,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gradus.llm.common import drop_kept, keep
+from gradus.llm.common import Marks, drop_kept, keep, located, marked_rows, small
 from gradus.llm.components import components
-from gradus.llm.shingles import WordHasher, digest, parity, scramble, shingle_set, words_of
+from gradus.llm.shingles import WordHasher, digest, folded, parity, scramble, shingle_set, words_of
 
 LEVELS = 6
-BLOOM_BITS = 1 << 22
+#: What a comparison by sketch needs of a node: size, parity folded to 256 bits, whole parity.
+_SKETCH = ("n", "h0", "h1", "h2", "h3", "par")
 
-_ROWS = "doc_id long, k1 long, k2 long, n int, par array<long>, sigs array<long>"
-_SETS = "k1 long, k2 long, n int, shingles array<long>"
+_ROWS = "file long, at long, row long, doc_id long, k1 long, k2 long, n int, h0 long, h1 long, h2 long, h3 long, par array<long>, sigs array<long>, again array<long>, centers array<long>"
+_SETS = "node long, n int, shingles array<long>"
 
 
 def bands(growth: float = 1.5, largest: int = 1 << 40) -> list[int]:
@@ -115,67 +117,75 @@ class Plan:
         return np.unique(np.concatenate(out))
 
 
+def _first_of_batch(sigs: list[np.ndarray | None], rows: np.ndarray) -> tuple[list, list, list]:
+    """For each row its signatures that no earlier row of the batch has, the others, and the rows that have them first."""
+    some = [i for i, x in enumerate(sigs) if x is not None]
+    own, again, centers = [None] * len(sigs), [None] * len(sigs), [None] * len(sigs)
+    if not some:
+        return own, again, centers
+    flat = np.concatenate([sigs[i] for i in some])
+    ends = np.cumsum([len(sigs[i]) for i in some])
+    _, first, inverse = np.unique(flat, return_index=True, return_inverse=True)
+    first = first[inverse]
+    is_first = first == np.arange(len(flat))
+    owner = rows[np.repeat(some, np.diff(ends, prepend=0))]
+    for i, start, end in zip(some, [0, *ends[:-1]], ends, strict=True):
+        mine = is_first[start:end]
+        own[i] = flat[start:end][mine]
+        if not mine.all():
+            again[i], centers[i] = flat[start:end][~mine], owner[first[start:end][~mine]]
+    return own, again, centers
+
+
 def _rows(plan: Plan, width: int):
+    kinds = (*[pa.int64()] * 6, pa.int32(), *[pa.int64()] * 4, *[pa.list_(pa.int64())] * 4)
+    names = [x.split()[0] for x in _ROWS.split(", ")]
+
     def run(batches):
-        hashed, seen = WordHasher(), set()
-        for batch in batches:
-            cols = [[], [], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        hashed, seen = WordHasher(50_000), set()
+        for batch in small(batches, 4096):
+            k1, k2, n, par, sigs, heads = [], [], [], [], [], []
+            for text in (t for k in range(0, batch.num_rows, 512) for t in batch.column(4).slice(k, 512).to_pylist()):
                 s = shingle_set(hashed(words_of(text)), width)
-                if len(s):
-                    k = digest(s)
-                    # Copies within a task need no signatures of their own.
-                    sigs = None if k in seen else plan.signatures(s).view(np.int64)
-                    seen.add(k)
-                    row = (doc_id, *k, len(s), parity(s), sigs)
-                else:
-                    row = (doc_id, 0, 0, 0, None, None)
-                for col, v in zip(cols, row, strict=True):
-                    col.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "k1", "k2", "n", "par", "sigs"])
+                k = digest(s) if len(s) else (0, 0)
+                k1.append(k[0])
+                k2.append(k[1])
+                n.append(len(s))
+                par.append(parity(s) if len(s) else None)
+                heads.append(folded(par[-1]) if len(s) else np.zeros(4, dtype=np.int64))
+                # Copies within a task need no signatures of their own.
+                sigs.append(plan.signatures(s).view(np.int64) if len(s) and k not in seen else None)
+                seen.add(k)
+            lists = _first_of_batch(sigs, batch.column(2).to_numpy())
+            made = [pa.array(c, t) for c, t in zip((k1, k2, n, *np.array(heads, dtype=np.int64).reshape(-1, 4).T, par, *lists), kinds[4:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *made], names=names)
 
     return run
 
 
-def _bloom_bit(doc_id):
-    return F.pmod(F.xxhash64(F.coalesce(doc_id, F.lit(0))), F.lit(BLOOM_BITS))
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """Shingle sets of the nodes in wanted (doc_id, node, k1, k2, n), from a second look at the texts.
+def _sets(source: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """node, n and shingle set of the nodes in wanted (file, at, value), from a second look at the texts.
 
-    A bitmap of fixed size over doc_ids spares most other texts; those that it lets through
-    fall out in the join. Its size doesn't depend on the data.
+    Each task picks its own rows; nothing is broadcast, and only these sets leave it.
     """
-    words = wanted.select(_bloom_bit(F.col("doc_id")).alias("bit")).groupBy(F.shiftright("bit", 5).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit & 31 as int))")).alias("bits"))
-    bitmap = np.zeros(BLOOM_BITS // 32, dtype=np.int32)
-    for at, bits in words.collect():  # at most BLOOM_BITS / 32 rows
-        bitmap[at] = bits
-    held = docs.sparkSession.sparkContext.broadcast(bitmap)
+    marks = Marks(wanted, "wanted")
+    reader = marks.reader()
 
     def run(batches):
-        hashed, seen = WordHasher(), set()
-        bitmap = held.value
-        for batch in batches:
-            bit = batch.column(1).to_numpy()
-            pick = np.flatnonzero((bitmap[bit >> 5].view(np.uint32) >> (bit & 31).astype(np.uint32)) & 1)
-            cols = [[], [], [], []]
-            for text in batch.column(0).take(pa.array(pick)).to_pylist():
-                s = shingle_set(hashed(words_of(text)), width)
-                if len(s) and (k := digest(s)) not in seen:
-                    seen.add(k)
-                    for col, v in zip(cols, (*k, len(s), s.view(np.int64)), strict=True):
-                        col.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["k1", "k2", "n", "shingles"])
-
-    found = docs.select("text", _bloom_bit(F.col("doc_id").cast("long")).alias("bit")).mapInArrow(run, _SETS)
-    return found.join(wanted.select("node", "k1", "k2", "n"), ["k1", "k2", "n"]).groupBy("k1", "k2", "n", "node").agg(F.first("shingles").alias("shingles")).select("node", "n", "shingles")
+        hashed, pick = WordHasher(50_000), reader()
+        for batch in small(batches):
+            where, nodes = pick(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            sets = [shingle_set(hashed(words_of(t)), width) for t in batch.column(2).take(pa.array(where)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "n", "shingles"])
+
+    out = keep(source.select("file", "at", "text").mapInArrow(run, _SETS), "sets")
+    marks.drop()
+    return out
 
 
 def _may_link(p: int, q: int):
-    """What two sets' sizes and parities allow; columns n_a, par_a, n_b, par_b."""
+    """What two sets' sizes and parities allow; columns of _SKETCH, with _a and _b. The folded parities
+    come first, as the whole ones are slow to compare."""
     a, b = F.col("n_a"), F.col("n_b")
     x, y = F.col("par_a"), F.col("par_b")
 
@@ -187,117 +197,163 @@ def _may_link(p: int, q: int):
         return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
 
     differ = F.when(F.size(x) == F.size(y), bits(x, y)).when(F.size(x) == 2 * F.size(y), bits(halved(x), y)).when(F.size(y) == 2 * F.size(x), bits(x, halved(y))).otherwise(0)
-    return (F.least(a, b) * q >= F.greatest(a, b) * p) & (differ * (q + p) <= (a + b) * (q - p))
+    least = sum((F.bit_count(F.col(f"h{k}_a").bitwiseXOR(F.col(f"h{k}_b"))) for k in range(1, 4)), F.bit_count(F.col("h0_a").bitwiseXOR(F.col("h0_b"))))
+    most = ((a + b) * (q - p)).cast("long")
+    return (F.least(a, b) * q >= F.greatest(a, b) * p) & (least * (q + p) <= most) & (differ * (q + p) <= most)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, slim: DataFrame, p: int, q: int, width: int) -> DataFrame:
+def _verified(pairs: DataFrame, source: DataFrame, nodes: DataFrame, p: int, q: int, width: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are alike enough, as edges (u, v)."""
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = keep(slim.where("row = node").join(ids, "node", "left_semi").select("doc_id", "node", "k1", "k2", "n"), "wanted")
-    sets = keep(_sets(docs, wanted, width), "sets")
+    sets = _sets(source, nodes.join(ids, "node", "left_semi").select("file", "at", F.col("node").alias("value")), width)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b")), "b")
     common = F.size(F.array_intersect("s_a", "s_b"))
     edges = keep(both.where(common * q >= (F.col("n_a") + F.col("n_b") - common) * p).select(F.col("a").alias("u"), F.col("b").alias("v")), "edges")
-    drop_kept(wanted, sets)
+    drop_kept(sets)
     return edges
 
 
-def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (80, 100), width: int = 5) -> DataFrame:
-    """doc_id, k1, k2, n_shingles, component_id, root of every row of docs.
+def _linked(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Components (id, root) after more edges."""
+    return keep(components(edges.union(roots.select(F.col("id").alias("u"), F.col("root").alias("v")))), "roots")
 
-    component_id is the smallest doc_id among the rows that links of Jaccard similarity of
-    at least similarity (a fraction of integers) between sets of width-word shingles reach. k1
-    and k2 together name the set; equal sets are one node, however many rows have it. root numbers
-    components within one run (null without words).
 
-    Null or empty texts, and texts without words: n_shingles 0, linked with nothing,
-    component_id is the row's own doc_id. Null doc_id: takes part like any row and is
-    no component's name unless the component has no other. Repeated rows: each has a row
-    in the result. An empty table gives an empty result. Extra columns are not read.
+def _side(held: DataFrame, x: str, *more: str) -> DataFrame:
+    return held.select("sig", *more, *(F.col(c).alias(f"{c}_{x}" if c != "node" else x) for c in ("node", *_SKETCH, "comp")))
+
+
+def _close(members: DataFrame, nodes: DataFrame, roots: DataFrame, checked: DataFrame, source: DataFrame, p: int, q: int, width: int, looks: int = 64, pivots: int = 16, most_pivots: int = 64) -> DataFrame:
+    """Components once all links between the members (sig, node) of buckets are found.
+
+    Pairs within a component don't matter. While a bucket-wide comparison would look at more
+    than looks pairs for each member, all members are compared with some of their bucket, chosen
+    by a hash of the node, then with four times as many others: what is alike falls together
+    soon. The rest is compared pair by pair, and only pairs whose sizes and parities allow a
+    link become rows. checked: pairs (a, b) that needn't be compared again.
     """
+    seed, fruitless, nodes_here = 0, False, None
+    while True:
+        comp = nodes.join(roots, nodes["node"] == roots["id"], "left").select("node", *_SKETCH, F.coalesce("root", "node").alias("comp"))
+        named = members.join(comp, "node")
+        many = named.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("sig")
+        held = keep(named.join(many, "sig", "left_semi"), "held")
+        total, inside = held.count(), roots.where("id <> root").count()
+        parts = held.groupBy("sig", "comp").agg(F.count("*").cast("double").alias("n"))
+        work = parts.groupBy("sig").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("pairs")).agg(F.sum("pairs")).first()[0] or 0
+        last = work <= 2.0 * looks * total or pivots > most_pivots or fruitless
+        if last:
+            other = _side(held, "b")
+        else:
+            names = [f"x{k}" for k in range(pivots)]
+            picked = held.groupBy("sig").agg(*(F.min_by("node", F.xxhash64("node", F.lit(seed + k))).alias(x) for k, x in enumerate(names)))
+            picked = picked.select("sig", F.explode(F.array_distinct(F.array(*names))).alias("node"))
+            other = _side(picked.join(comp, "node"), "b")
+        pairs = _side(held, "a").join(other, "sig").where((F.col("comp_a") != F.col("comp_b")) & (F.col("a") < F.col("b") if last else F.lit(True)) & _may_link(p, q))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = keep(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
+        edges = None if pairs.isEmpty() else _verified(pairs, source, nodes, p, q, width)
+        if edges is not None and not edges.isEmpty():
+            roots = _linked(edges, roots)
+        if last:
+            drop_kept(held, pairs)
+            return roots
+        nodes_here = nodes_here or held.select("node").distinct().count()
+        fruitless = 50 * (roots.where("id <> root").count() - inside) < nodes_here
+        checked = keep(checked.union(pairs), "checked")
+        members = held.select("sig", "node")
+        seed, pivots = seed + pivots, 4 * pivots
+
+
+def _found(docs: DataFrame, similarity: tuple[int, int], width: int) -> DataFrame:
+    """What near_duplicates() returns, with file and at of each row as located() names them."""
     p, q = similarity
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    id_at, text_at = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    source = located(docs).select("file", "at", F.col(id_at).cast("long").alias("doc_id"), F.col(text_at).alias("text"))
     # Cost model only: about six bytes a word.
     low = bands()
     guess = F.greatest(F.lit(1), F.floor(F.octet_length("text") / 6))
     band = sum((F.when(guess >= x, 1).otherwise(0) for x in low[1:40]), F.lit(0))
-    sizes = {r.band: (r.rows, r.mean) for r in docs.where("text is not null").groupBy(band.alias("band")).agg(F.count("*").alias("rows"), F.avg(guess).alias("mean")).collect()}
+    sizes = {r.band: (r.rows, r.mean) for r in source.where("text is not null").groupBy(band.alias("band")).agg(F.count("*").alias("rows"), F.avg(guess).alias("mean")).collect()}
     plan = Plan(p, q, sizes)
 
-    rows = keep(docs.mapInArrow(_rows(plan, width), _ROWS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    numbered = source.select("file", "at", F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    rows = keep(numbered.mapInArrow(_rows(plan, width), _ROWS), "rows")
     some = rows.where("n > 0")
-    nodes = keep(some.groupBy("k1", "k2", "n").agg(F.min("row").alias("node"), F.min("doc_id").alias("low")), "nodes")
-    slim = keep(some.select("row", "doc_id", "k1", "k2", "n", "par").join(nodes.select("k1", "k2", "n", "node"), ["k1", "k2", "n"]), "slim")
+    # Of a node's rows the one that counts is the first; all nodes have their parity from it.
+    first = some.groupBy("k1", "k2", "n").agg(F.min(F.struct("row", "file", "at", *_SKETCH[1:])).alias("x"), F.min("doc_id").alias("low"))
+    nodes = keep(first.select("k1", "k2", "n", F.col("x.row").alias("node"), "x.file", "x.at", *(f"x.{c}" for c in _SKETCH[1:]), "low"), "nodes")
+    named_rows = keep(some.where("sigs is not null or again is not null").select("row", "k1", "k2", "n").join(nodes.select("k1", "k2", "n", "node"), ["k1", "k2", "n"]).select("row", "node"), "named")
 
     in_bucket = Window.partitionBy("sig").orderBy("row")
     hits = some.where("sigs is not null").select(F.explode("sigs").alias("sig"), "row")
-    hits = hits.select("sig", "row", *(f("row").over(in_bucket).alias(n) for n, f in (("center", F.first), ("before", F.lag), ("next", F.lead))))
-    hits = hits.where("row <> center").select("sig", "row", "center", (F.col("next").isNotNull() | (F.col("before") != F.col("center"))).alias("many"))
-    hits = keep(hits, "hits")
-    plain = keep(rows.select("doc_id", "k1", "k2", "n"), "plain")
+    hits = hits.select("sig", "row", F.first("row").over(in_bucket).alias("center")).where("row <> center")
+    here = some.where("again is not null").select(F.explode(F.arrays_zip("again", "centers")).alias("x"), "row").select("x.again", "row", "x.centers")
+    hits = keep(hits.union(here), "hits")
+    plain = keep(rows.select("file", "at", "doc_id", "k1", "k2", "n"), "plain")
     drop_kept(rows)  # signatures are the largest part, and no longer needed
 
-    def side(x: str, key: str) -> DataFrame:
-        return slim.select(F.col("row").alias(key), F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("par").alias(f"par_{x}"))
-
     stars = hits.select("row", "center").distinct()
-    stars = keep(stars.join(side("a", "row"), "row").join(side("b", "center"), "center").where("a <> b"), "stars")
-    pairs = keep(stars.where(_may_link(p, q)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    edges = _verified(pairs, docs, slim, p, q, width)
+    stars = stars.join(named_rows.select("row", F.col("node").alias("a")), "row").join(named_rows.select(F.col("row").alias("center"), F.col("node").alias("b")), "center").where("a <> b")
+    stars = keep(stars, "stars")
+    lean = nodes.select("node", *_SKETCH)
+    pairs = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.join(lean.toDF("a", *(f"{c}_a" for c in _SKETCH)), "a").join(lean.toDF("b", *(f"{c}_b" for c in _SKETCH)), "b")
+    pairs = keep(pairs.where(_may_link(p, q)).select("a", "b"), "pairs")
+    edges = _verified(pairs, source, nodes, p, q, width)
     roots = keep(components(edges), "roots")
 
-    # Buckets whose members are not all in the component of their smallest one.
-    comp = keep(slim.join(roots, slim["node"] == roots["id"], "left").select("row", "node", "n", "par", F.coalesce("root", "node").alias("comp")), "comp")
-    open_stars = stars.join(roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b", "left")
-    open_stars = open_stars.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("row", "center")
-    # Pairs with the smallest one have all been checked, so only buckets with two others matter.
-    others = hits.where("many").drop("many")
-    open_hits = others.join(open_stars, ["row", "center"], "left_semi").select("sig").distinct()
-    held = others.join(open_hits, "sig", "left_semi").join(comp, "row").groupBy("sig", "node").agg(F.first("n").alias("n"), F.first("par").alias("par"), F.first("comp").alias("comp"))
-    held = keep(held, "held")
-    a = held.select("sig", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("par").alias("par_a"), F.col("comp").alias("comp_a"))
-    b = held.select("sig", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("par").alias("par_b"), F.col("comp").alias("comp_b"))
-    more = a.join(b, "sig").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & _may_link(p, q)).select("a", "b").distinct()
-    more = keep(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        found = _verified(more, docs, slim, p, q, width)
-        if not found.isEmpty():
-            linked = found.union(roots.select(F.col("id").alias("u"), F.col("root").alias("v")))
-            roots = keep(components(linked), "roots")
-    drop_kept(hits, held, stars)
+    # Buckets that have not fallen together: one of their comparisons was between components.
+    apart = stars.join(roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b", "left")
+    apart = apart.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("row", "center")
+    open_sigs = hits.join(apart, ["row", "center"], "left_semi").select("sig").distinct()
+    # Where two rows share a signature they have been compared; three or more have two hits at least.
+    open_hits = keep(hits.join(open_sigs, "sig", "left_semi"), "open")
+    three = open_hits.groupBy("sig").agg(F.count("*").alias("hits")).where("hits > 1").select("sig")
+    wide = open_hits.join(three, "sig", "left_semi")
+    members = wide.select("sig", "row").union(wide.select("sig", F.col("center").alias("row"))).join(named_rows, "row").select("sig", "node").distinct()
+    members = keep(members, "members")
+    drop_kept(hits, stars, open_hits)
+    if not members.isEmpty():
+        roots = _close(members, nodes, roots, pairs, source, p, q, width)
+    drop_kept(members)
 
     named = nodes.join(roots, nodes["node"] == roots["id"], "left").select("k1", "k2", "n", "low", F.coalesce("root", "node").alias("root"))
     named = keep(named, "named")
     ids = keep(named.groupBy("root").agg(F.min("low").alias("component_id")), "ids")
-    named = keep(named.join(ids, "root").select("k1", "k2", F.col("n").alias("n_"), "component_id", "root"), "classes")
-    linked = plain.where("n > 0").join(named.withColumnRenamed("n_", "n"), ["k1", "k2", "n"])
+    named = keep(named.join(ids, "root").select("k1", "k2", "n", "component_id", "root"), "classes")
+    linked = plain.where("n > 0").join(named, ["k1", "k2", "n"])
     alone = plain.where("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("root", F.lit(None).cast("long"))
-    return linked.union(alone.select(*linked.columns)).select("doc_id", "k1", "k2", F.col("n").cast("long").alias("n_shingles"), "component_id", "root")
+    return linked.union(alone.select(*linked.columns)).withColumn("n_shingles", F.col("n").cast("long"))
 
 
-def one_of_each(docs: DataFrame, **kwargs) -> DataFrame:
-    """The rows of docs, all columns, without near duplicates: of each component the row with the
-    smallest doc_id stays, one row if that is repeated. Rows without words all stay."""
-    found = near_duplicates(docs.select("doc_id", "text"), **kwargs)
-    first = found.where(F.col("n_shingles") > 0).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # A set's digest tells rows apart that share a doc_id; so two components of one id both stay.
-    stay = keep(first.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), "k1", "k2")).alias("k")).select("k.id", "k.k1", "k.k2"), "stay")
-    return _rows_of(docs, stay, kwargs.get("width", 5))
+def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (80, 100), width: int = 5) -> DataFrame:
+    """doc_id, k1, k2, n_shingles, component_id, root of every row of docs.
+
+    component_id is the smallest doc_id among the rows that links of Jaccard similarity of
+    at least similarity (a fraction of integers) between sets of width-word shingles reach. k1
+    and k2 together name the set; equal sets are one node, however many rows have it. root numbers
+    components within one run (null without words).
 
+    Null or empty texts, and texts without words: n_shingles 0, linked with nothing,
+    component_id is the row's own doc_id. Null doc_id: takes part like any row and is
+    no component's name unless the component has no other. Repeated rows: each has a row
+    in the result. Very long texts are taken whole; a task holds the shingles of one batch. An
+    empty table gives an empty result. Extra columns are not read, whatever their names.
+    """
+    return _found(docs, similarity, width).select("doc_id", "k1", "k2", "n_shingles", "component_id", "root")
 
-def _rows_of(docs: DataFrame, stay: DataFrame, width: int) -> DataFrame:
-    """One row of docs for each (id, k1, k2) of stay, and all rows without words."""
-    names, at = [*docs.columns, "__k1", "__k2"], docs.columns.index("text")
 
-    def run(batches):
-        hashed = WordHasher()
-        for batch in batches:
-            keys = [digest(s) if len(s := shingle_set(hashed(words_of(t)), width)) else (None, None) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], names=names)
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("__k1", T.LongType()), T.StructField("__k2", T.LongType())])
-    keyed = docs.mapInArrow(run, schema).withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
-    held = keyed.where("__k1 is not null").join(stay, (F.col("__id") == stay["id"]) & (F.col("__k1") == stay["k1"]) & (F.col("__k2") == stay["k2"]), "left_semi")
-    once = held.dropDuplicates(["__id", "__k1", "__k2"])
-    return once.union(keyed.where("__k1 is null")).select(*docs.columns)
+def one_of_each(docs: DataFrame, similarity: tuple[int, int] = (80, 100), width: int = 5) -> DataFrame:
+    """The rows of docs, all columns, without near duplicates: of each component the row with the
+    smallest doc_id stays, one row if that is repeated. Rows without words all stay.
+
+    Ties of doc_id: the row whose place in its file comes first. Null doc_ids come last. Which
+    rows stay is looked up where they are read, so no text is shuffled.
+    """
+    source = docs if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" else keep(docs, "source")
+    found = _found(source, similarity, width)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "file", "at")
+    first = found.where("n > 0").groupBy("root").agg(F.min(order).alias("k")).select("k.file", "k.at")
+    stay = first.union(found.where("n = 0").select("file", "at")).withColumn("value", F.lit(0).cast("long"))
+    return marked_rows(source, Marks(stay, "stay"))

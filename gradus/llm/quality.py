@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradus.llm.common import small
+
 FEATURES = (
     "log_bytes", "log_words", "log_lines", "upper", "lower", "digit", "space", "common_marks", "other_marks", "high_bytes", "control",
     "byte_entropy", "word_bytes", "longest_word", "distinct_words", "top_word", "top_ten_words", "single_byte_words", "marked_words",
@@ -147,7 +149,7 @@ def held_out(doc_id):
 
 
 def _measured(batches):
-    for batch in batches:
+    for batch in small(batches):
         x = [statistics(t) for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
@@ -179,7 +181,7 @@ def score(docs: DataFrame, trees: Trees, columns: tuple[str, ...] = ("doc_id",))
     kinds = [f for f in picked.schema.fields[:-1]]
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             x = np.array([statistics(t) for t in batch.column(batch.num_columns - 1).to_pylist()]).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(held.value.score(x))], names=[*names, "score"])
 
@@ -192,7 +194,7 @@ def select(docs: DataFrame, trees: Trees, threshold: float) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches, at=docs.columns.index("text")):
-        for batch in batches:
+        for batch in small(batches):
             x = np.array([statistics(t) for t in batch.column(at).to_pylist()]).reshape(batch.num_rows, len(FEATURES))
             yield batch.filter(pa.array(held.value.score(x) >= threshold))
 

@@ -76,3 +76,8 @@ def parity(s: np.ndarray, least: int = 256) -> np.ndarray:
     bits = max(least, 1 << int(len(s) - 1).bit_length())
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
     return np.packbits(odd).view(np.int64)
+
+
+def folded(par: np.ndarray, words: int = 4) -> np.ndarray:
+    """A parity of as many bits as words hold, from one of at least as many."""
+    return np.bitwise_xor.reduce(par.reshape(-1, words), axis=0)

@@ -122,10 +122,34 @@ def test_segments_that_allow_a_deletion():
                 assert len(np.intersect1d(plan.signatures(a), plan.signatures(b)))
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (200, 200)]
-    got = {r.id: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
+@pytest.mark.parametrize("small_total", [100_000, 0])
+def test_components(spark, small_total):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (200, 200)] + [(300, 301 + i) for i in range(90)]
+    got = {r.id: r.root for r in components(spark.createDataFrame(edges, "u long, v long"), small_total).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100, **{i: 300 for i in range(300, 391)}}
+
+
+def test_buckets_of_many_components(spark, monkeypatch):
+    """A chain of near copies, and random members until all pairs are looked at."""
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(["x", w]) if rng.random() < 0.04 else w for w in base) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    close = ngram_join._close
+    monkeypatch.setattr(ngram_join, "_close", lambda *a, **k: close(*a, **k, looks=0, pivots=2, most_pivots=8))
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: c for i, _, c in linked(rows)}
+
+
+def test_rows_stay_whatever_their_columns(spark):
+    rows = [(i, f"a b c d e f {i // 2} g h", i, "k", 1.5) for i in range(20)] + [(3, None, 1, None, None), (None, "", 2, "", 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __k1 long, file string, `at` double")
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(kept.collect(), key=str) == sorted([r for i, r in enumerate(docs.collect()) if i >= 20 or i % 2 == 0], key=str)
+    docs = docs.withColumnRenamed("file", "source").withColumnRenamed("__k1", "__id").withColumnRenamed("at", "key")
+    back = mixing.repeated(docs)
+    assert back.columns == docs.columns and all(r["__id"] == r.doc_id for r in back.collect())
 
 
 def jump_slowly(key, shards):
@@ -260,24 +284,45 @@ def test_items_with_an_edited_word_are_found(spark):
         assert want in have if want is not None else not have, (want, " ".join(t))
 
 
-def test_all_items_above_the_threshold_are_retrieved():
+@pytest.mark.parametrize("most_ranges", [1, 3, 256])
+def test_all_items_above_the_threshold_are_retrieved(most_ranges):
     rng = random.Random(4)
     items = [(i, *decontaminate.split_item(prose(rng, rng.randint(8, 30)))) for i in range(60)]
     df = {}
     for _, q, a in items:
         for w in {*q, *a}:
             df[w] = df.get(w, 0) + 1
-    index = decontaminate.Index(items, df, len(items), 20.0, 0.3)
-    for _ in range(30):
-        words = prose(rng, 120).split() + items[3][1]
-        terms = np.array([index.term.get(w, -1) for w in words])
-        found = {(start, at) for start, inside, blocks in index.live(terms) for at, _ in index.search(inside, blocks)}
-        size = index.longest
-        for start in range(0, max(1, len(words) - size), size):
-            inside = {*terms[start : start + 2 * size].tolist()} - {-1}
-            for at in range(len(items)):
-                score = sum(index.posts[t].get(at, 0.0) for t in inside)
-                assert (score >= 0.3 - 1e-9) == ((start, at) in found)
+    index = decontaminate.Index(items, df, len(items), 20.0, 0.3, most_ranges=most_ranges)
+    size = index.longest
+    for n in (0, 1, 40, 120, 700):
+        for _ in range(10):
+            words = prose(rng, n).split() + items[3][1] + prose(rng, n // 3).split()
+            terms = np.array([index.term.get(w, -1) for w in words])
+            found = {(start, at): score for start, at, score in index.retrieve(terms)}
+            few = {(start, at): score for start, inside, live in index.passages(terms, at_once=7) for r in live for at, score in index.wand(inside, r * index.span, min(60, (r + 1) * index.span))}
+            assert few == found
+            for start in range(0, max(1, len(words) - size), size):
+                inside = {*terms[start : start + 2 * size].tolist()} - {-1}
+                for at in range(len(items)):
+                    score = sum(v for t in inside for k, v in zip(index.items[t], index.impacts[t]) if k == at)
+                    assert (score >= 0.3 - 1e-9) == ((start, at) in found)
+                    assert abs(found.get((start, at), score) - score) < 1e-9
+
+
+def test_other_items_and_blocks_change_no_verdict(spark):
+    rng = random.Random(14)
+    items = [(i, f"{prose(rng, rng.choice([8, 12, 30, 80]))}? answer{i} {prose(rng, rng.choice([4, 9]))}.") for i in range(40)]
+    far = [f"{t.split('?')[0]} {prose(rng, 300)} {t.split('?')[1]}" for _, t in items[:10]]
+    texts = [*far, *(f"{prose(rng, 900)} {t} {prose(rng, 200)}" for _, t in items)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kind = "item_id long, text string"
+    want = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(d, spark.createDataFrame(items, kind)).collect())
+    assert {(10 + i, i) for i in range(40)} <= {*want} and not any(i < 10 for i, _ in want)
+    long = spark.createDataFrame([*items, (None, prose(rng, 600))], kind)
+    for kw in ({}, {"block_bytes": 400}, {"block_bytes": 400, "held_bytes": 1}):
+        assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(d, long, **kw).collect()) == want
+    alone = decontaminate.contaminated(d, spark.createDataFrame([(None, items[7][1])], kind)).collect()
+    assert [(r.doc_id, r.item_id) for r in alone] == [(17, None)]
 
 
 def test_licenses(spark, empty):
