@@ -190,13 +190,17 @@ def reward_hacking(code: pd.Series, entry: pd.Series, tests: pd.Series) -> pd.Da
 
 
 def repair_one(entry: str, tests: list[str], code: str) -> str:
-    """A rule-based revision: a body that meets the first assertion of a simple form, else the code as it is."""
-    for test in tests:
-        if m := re.search(rf"\b{re.escape(entry)}\(\s*(-?\d+)\s*\)\s*==\s*(-?\d+)", test):
+    """A rule-based revision: a body that meets the first assertion of a known form, else the code as it is.
+
+    Forms: assert entry(integer) == integer, and assert entry() == integer.
+    """
+    name, number = re.escape(entry or ""), r"(-?\d+)"
+    for test in tests if entry else ():
+        if m := re.search(rf"assert\s+{name}\({number}\)\s*==\s*{number}", test):
             step = int(m[2]) - int(m[1])
-            return f"def {entry}(x):\n    return x {'+' if step >= 0 else '-'} {abs(step)}\n"
-        if m := re.search(rf"\b{re.escape(entry)}\(\s*\)\s*==\s*(.+?)\s*$", test, re.M):
-            return f"def {entry}():\n    return {m[1]}\n"
+            return f"def {entry}(x):\n    return x{f' {"+" if step > 0 else "-"} {abs(step)}' if step else ''}\n"
+        if m := re.search(rf"assert\s+{name}\(\)\s*==\s*{number}", test):
+            return f"def {entry}():\n    return {int(m[1])}\n"
     return code
 
 

@@ -43,12 +43,15 @@ def repeated_line_fraction(x: Column) -> Column:
     return F.when(F.size(found) == 0, 0.0).otherwise(1 - F.size(F.array_distinct(found)) / F.size(found))
 
 
-def is_degenerate(x: Column) -> Column:
+def is_degenerate(x: Column, code: Column | None = None) -> Column:
     """Blank, or at least 4 lines half of which repeat others, or at least 20 tokens of which
-    at most a fifth are different."""
-    ls, ts = lines(x), tokens(x)
+    at most a fifth are different. Lines are those of the code, tokens those of the whole completion x;
+    either may be blank."""
+    code = x if code is None else code
+    ls, ts = lines(F.coalesce(code, F.lit(""))), tokens(F.coalesce(x, F.lit("")))
     return (
         (F.size(ts) == 0)
+        | (F.size(ls) == 0)
         | ((F.size(ls) >= 4) & (F.size(F.array_distinct(ls)) <= 0.5 * F.size(ls)))
         | ((F.size(ts) >= 20) & (F.size(F.array_distinct(ts)) <= 0.2 * F.size(ts)))
     )
@@ -67,6 +70,12 @@ def quality_score(x: Column, valid: Column) -> Column:
     return F.when(valid, F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).otherwise(0.0)
 
 
+def quality(x: Column, valid: Column) -> Column:
+    """Lines, lines that aren't blank, characters, the longest line, and the score of code; valid tells whether it parses."""
+    every = F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(x, r"(?:\r\n|[\n\r])$", ""), _LINE_END))
+    return F.struct(valid.alias("syntax_valid"), F.size(every).alias("line_count"), F.size(lines(x)).alias("non_empty_line_count"), F.length(x).alias("char_count"), F.coalesce(F.array_max(F.transform(every, F.length)), F.lit(0)).alias("max_line_length"), quality_score(x, valid).alias("quality_score"))
+
+
 def scoped_id(source: Column, raw: Column) -> Column:
     return F.when(F.contains(raw, F.lit("/")), raw).otherwise(F.concat(source, F.lit("/"), raw))
 
@@ -76,15 +85,18 @@ def unscoped_id(x: Column) -> Column:
 
 
 def entry_point(tests: Column, fallback: Column | None = None) -> Column:
-    """Name that the first assertion calls, else the first called name that isn't a builtin of tests."""
-    asserted = F.transform(tests, lambda t: F.regexp_extract(t, r"assert\s+([A-Za-z_]\w*)\s*\(", 1))
-    called = F.flatten(F.transform(tests, lambda t: F.filter(F.regexp_extract_all(t, F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1)), lambda n: ~n.isin(*NOT_ENTRY))))
-    found = F.coalesce(F.get(F.filter(asserted, lambda n: n != ""), F.lit(0)), F.get(called, F.lit(0)))
-    return found if fallback is None else F.coalesce(fallback, found)
+    """Name that the first test with a call to offer calls: what it asserts, or else the first name called
+    that isn't one of NOT_ENTRY. A fallback that isn't empty comes first."""
+    asserted = lambda t: F.nullif(F.regexp_extract(t, _ASSERTED, 1), F.lit(""))
+    called = lambda t: F.get(F.filter(F.regexp_extract_all(t, F.lit(_CALLED), F.lit(1)), lambda n: ~n.isin(*NOT_ENTRY)), F.lit(0))
+    found = F.get(F.filter(F.transform(tests, lambda t: F.coalesce(asserted(t), called(t))), lambda n: n.isNotNull()), F.lit(0))
+    return found if fallback is None else F.coalesce(F.nullif(fallback, F.lit("")), found)
 
 
-#: Called names that are no entry point (fixed values).
-NOT_ENTRY = ("assert", "print", "set", "list", "tuple", "dict", "sorted", "len", "abs", "round", "isclose")
+#: What a called name looks like, and called names that are no entry point (fixed values).
+_ASSERTED = r"assert\s+([A-Za-z_][A-Za-z0-9_]*)\s*\("
+_CALLED = r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\("
+NOT_ENTRY = ("assertEqual", "assertTrue", "assertFalse", "print", "range")
 
 
 def hidden_name(x: Column) -> Column:
@@ -101,11 +113,12 @@ def join_nonempty(*parts: Column) -> Column:
 
 
 def truncate(x: Column, limit: int = 12_000) -> Column:
-    return F.when(F.length(x) <= limit, x).otherwise(F.concat(F.substring(x, 1, limit), F.lit("\n...[truncated]")))
+    return F.when(F.length(x) <= limit, x).otherwise(F.concat(F.substring(x, 1, limit), F.lit("\n...<truncated>...")))
 
 
 def last_line(x: Column) -> Column:
-    return F.coalesce(F.try_element_at(lines(x), F.lit(-1)), F.lit(""))
+    """The last line of the stripped text, with its own indent."""
+    return F.coalesce(F.try_element_at(F.split(strip(x), _LINE_END), F.lit(-1)), F.lit(""))
 
 
 def escape_html(x: Column) -> Column:
@@ -137,11 +150,53 @@ def after_preamble(x: Column) -> Column:
     return F.when(at.isNotNull(), F.substring(s, at, F.length(s))).otherwise(s)
 
 
-def render_prompt(prompt: Column, starter: Column, entry: Column, public_tests: Column) -> Column:
-    """Prompt of a task, from what the model may see."""
-    said = lambda head, x: F.when(x.isNotNull() & (x != ""), F.concat(F.lit(head), x))
-    return F.concat_ws("\n\n", prompt, said("Entry point: ", entry), said("Starter code:\n", starter), said("Public tests:\n", F.array_join(public_tests, "\n")))
+#: Templates by name: whether they show public tests, and ask for a code fence (fixed values).
+TEMPLATES = {"direct_solution_v1": (False, True), "direct_solution_with_public_tests_v1": (True, True)}
+REVISION_TEMPLATES = {"self_debug_revision_v1": (True, True)}
+#: What prompts say (fixed values).
+SOLVE = ("You are a careful Python coding assistant.", "Solve the task by writing correct, executable Python code.", "Return only the final code.")
+SOLVE_FENCED = "Wrap the code in a single ```python fenced block."
+REVISE = ("You are revising a Python solution after public-test feedback.", "Return a complete corrected solution, not a patch.", "Do not mention the debugging process.")
+REVISE_FENCED = "Wrap the revised code in a single ```python fenced block."
+NO_FEEDBACK = "public tests failed"
+
+
+def template(name: str, known: dict[str, tuple[bool, bool]] = TEMPLATES) -> tuple[bool, bool]:
+    if name not in known:
+        raise ValueError(f"unknown prompt template {name!r}; available: {', '.join(sorted(known))}")
+    return known[name]
+
+
+def _filled(x: Column) -> Column:
+    return F.coalesce(x, F.lit("")) != ""
+
+
+def _block(head: str, x: Column, asked: Column | bool) -> Column:
+    return F.when(F.lit(asked) if isinstance(asked, bool) else asked, F.concat_ws("\n", F.lit(""), F.lit(head), F.lit("```python"), x, F.lit("```")))
+
+
+def _about(prompt: Column, starter: Column, entry: Column, public_tests: Column, shows_tests: bool) -> list[Column]:
+    """The task's part of a prompt; null where a task has nothing to say."""
+    tests = F.coalesce(public_tests, F.array().cast("array<string>"))
+    return [
+        F.concat_ws("\n", F.lit(""), F.lit("Task:"), strip(prompt)),
+        F.when(_filled(entry), F.concat(F.lit("\nRequired entry point: `"), entry, F.lit("`"))),
+        _block("Starter code:", strip(starter), _filled(strip(F.coalesce(starter, F.lit(""))))),
+        _block("Public tests:", F.array_join(F.transform(tests, strip), "\n"), (F.size(tests) > 0) & F.lit(shows_tests)),
+    ]
+
+
+def render_prompt(prompt: Column, starter: Column, entry: Column, public_tests: Column, name: str = "direct_solution_v1") -> Column:
+    """Prompt of a task by a named template, from what the model may see."""
+    shows_tests, fenced = template(name)
+    said = [*SOLVE, *([SOLVE_FENCED] if fenced else [])]
+    return F.concat(strip(F.concat_ws("\n", *map(F.lit, said), *_about(prompt, starter, entry, public_tests, shows_tests))), F.lit("\n"))
 
 
-def revision_prompt(prompt: Column, code: Column, observation: Column, turn: Column) -> Column:
-    return F.concat_ws("\n\n", prompt, F.concat(F.lit("Revision "), turn.cast("string")), F.concat(F.lit("Current code:\n"), code), F.concat(F.lit("Observation:\n"), observation))
+def revision_prompt(prompt: Column, starter: Column, entry: Column, public_tests: Column, code: Column, observation: Column, turn: Column, name: str = "self_debug_revision_v1") -> Column:
+    """Prompt of a revision: the task, the code so far, and what its public tests said."""
+    shows_tests, fenced = template(name, REVISION_TEMPLATES)
+    said = [*REVISE, *([REVISE_FENCED] if fenced else [])]
+    seen = F.when(_filled(strip(F.coalesce(observation, F.lit("")))), strip(observation)).otherwise(NO_FEEDBACK)
+    parts = [F.concat(F.lit("\nRevision attempt: "), turn.cast("string")), *_about(prompt, starter, entry, public_tests, shows_tests), _block("Current code:", strip(code), True), F.concat(F.lit("\nPublic-test feedback:\n"), seen)]
+    return F.concat(strip(F.concat_ws("\n", *map(F.lit, said), *parts)), F.lit("\n"))

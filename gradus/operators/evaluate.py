@@ -15,6 +15,8 @@ def cap_samples(rollouts: DataFrame, most: int | None, order: tuple[str, ...] =
     """The first rollouts of each task; planned with a limit below the shuffle."""
     if most is None:
         return rollouts
+    if most <= 0:
+        raise ValueError("the number of samples must be positive")
     rn = F.row_number().over(Window.partitionBy("task_id").orderBy(*order))
     return rollouts.withColumn("__rn", rn).where(F.col("__rn") <= most).drop("__rn")
 
@@ -30,9 +32,28 @@ def by_task(rollouts: DataFrame, ks: tuple[int, ...] = (1, 5, 10), keys: tuple[s
     return got.withColumns({f"pass_at_{k}": pass_at_k(F.col("samples").cast("int"), F.col("correct").cast("int"), k) for k in ks})
 
 
+def _outputs(rollouts: DataFrame) -> list[Column]:
+    """Shares of failed parses and degenerate outputs and token counts, of those of the columns parse_status, degenerate and tokens that there are."""
+    out = []
+    if "parse_status" in rollouts.columns:
+        out.append(rate(F.count_if(F.coalesce("parse_status", F.lit("")) != "ok"), F.count("*")).alias("parse_failure_rate"))
+    if "degenerate" in rollouts.columns:
+        out.append(rate(F.count_if("degenerate"), F.count("*")).alias("degenerate_rate"))
+    if "tokens" in rollouts.columns:
+        out += [F.coalesce(x, F.lit(0.0)).alias(f"{n}_tokens") for n, x in (("mean", F.avg("tokens")), ("median", F.percentile("tokens", F.lit(0.5))), ("max", F.max("tokens").cast("double")))]
+    return out
+
+
+def _rewards() -> list[Column]:
+    reward = F.coalesce("reward", F.lit(0.0))
+    found = (("mean_reward", F.avg(reward)), ("median_reward", F.percentile(reward, F.lit(0.5))), ("min_reward", F.min(reward)), ("max_reward", F.max(reward)), ("std_reward", F.stddev_pop(reward)))
+    return [F.coalesce(x, F.lit(0.0)).alias(n) for n, x in found]
+
+
 def overall(rollouts: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """One row: counts, rates, mean, median, range and population deviation of rewards, share of
-    informative tasks (some passed and some not), and mean pass@k over tasks."""
+    informative tasks (some passed and some not), and mean pass@k over tasks; with the columns parse_status,
+    degenerate and tokens also shares of failed parses and degenerate outputs, and mean, median and greatest token count."""
     tasks = by_task(rollouts, ks).agg(
         F.count("*").alias("tasks"),
         F.sum("samples").alias("rollouts"),
@@ -40,11 +61,7 @@ def overall(rollouts: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
         rate(F.count_if((F.col("correct") > 0) & (F.col("correct") < F.col("samples"))), F.count("*")).alias("informative"),
         *(F.coalesce(F.avg(f"pass_at_{k}"), F.lit(0.0)).alias(f"pass_at_{k}") for k in ks),
     )
-    reward = F.coalesce("reward", F.lit(0.0))
-    rewards = rollouts.agg(
-        *(F.coalesce(x, F.lit(0.0)).alias(n) for n, x in (("mean_reward", F.avg(reward)), ("median_reward", F.percentile(reward, F.lit(0.5))), ("min_reward", F.min(reward)), ("max_reward", F.max(reward)), ("std_reward", F.stddev_pop(reward))))
-    )
-    return tasks.crossJoin(rewards)  # one row each
+    return tasks.crossJoin(rollouts.agg(*_rewards(), *_outputs(rollouts)))  # one row each
 
 
 def field(source: Column, path: str, is_json: bool = False) -> Column:
@@ -59,9 +76,26 @@ def by_fields(rollouts: DataFrame, fields: dict[str, Column], ks: tuple[int, ...
     named = F.array(*(F.struct(F.lit(n).alias("field"), c.alias("value")) for n, c in fields.items()))
     flat = rollouts.withColumn("__g", F.explode(named)).select("*", "__g.field", "__g.value").drop("__g")
     tasks = by_task(flat, ks, ("field", "value", "task_id"))
-    return tasks.groupBy("field", "value").agg(
+    summed = tasks.groupBy("field", "value").agg(
         F.count("*").alias("tasks"), F.sum("samples").alias("rollouts"), rate(F.sum("correct"), F.sum("samples")).alias("pass_rate"), (F.sum("reward_sum") / F.sum("samples")).alias("mean_reward"), *(F.avg(f"pass_at_{k}").alias(f"pass_at_{k}") for k in ks)
     )
+    if not (more := _outputs(flat)):
+        return summed
+    outputs = flat.groupBy("field", "value").agg(*[x for x, n in zip(_rewards(), ("mean", "median", "min", "max", "std"), strict=True) if n in ("median", "min", "max")], *more)
+    return summed.join(outputs, ["field", "value"])
+
+
+def spread_above(reward: Column, least: float) -> Column:
+    """Aggregate: whether the population deviation is above least.
+
+    A deviation within 1e-9 of least is decided in whole numbers of 1e-9, n * sum(r * r) - sum(r)^2
+    against (n * least)^2, where rounding can't tip it.
+    """
+    std, x, n = F.stddev_pop(reward), F.round(reward * 1e9).cast("decimal(19,0)"), F.count(reward).cast("decimal(10,0)")
+    total = F.sum(x).cast("decimal(19,0)")
+    squares = n * F.sum((x * x).cast("decimal(28,0)")).cast("decimal(28,0)") - total * total
+    edge = F.lit(round(least * 1e9)).cast("decimal(14,0)") * n
+    return F.when(F.abs(std - least) > 1e-9, std > least).otherwise(squares > edge * edge)
 
 
 def standardized(rollouts: DataFrame, least_std: float = 0.0) -> DataFrame:
@@ -70,9 +104,11 @@ def standardized(rollouts: DataFrame, least_std: float = 0.0) -> DataFrame:
 
     Means come from an aggregation joined back, so a task with very many rollouts is not one window.
     """
-    stats = rollouts.groupBy("task_id").agg(F.avg("reward").alias("group_mean"), F.stddev_pop("reward").alias("group_std"), F.count_if("passed").alias("group_correct"), F.count("*").alias("group_size"))
-    z = F.when(F.col("group_std") > least_std, (F.col("reward") - F.col("group_mean")) / F.col("group_std")).otherwise(0.0)
-    return rollouts.join(stats, "task_id").withColumn("advantage", z)
+    stats = rollouts.groupBy("task_id").agg(
+        F.avg("reward").alias("group_mean"), F.stddev_pop("reward").alias("group_std"), F.count_if("passed").alias("group_correct"), F.count("*").alias("group_size"), spread_above(F.col("reward"), least_std).alias("group_spread")
+    )
+    z = F.when(F.col("group_spread"), (F.col("reward") - F.col("group_mean")) / F.col("group_std")).otherwise(0.0)
+    return rollouts.join(stats, "task_id").withColumn("advantage", z).drop("group_spread")
 
 
 def step_metrics(scored: DataFrame) -> DataFrame:

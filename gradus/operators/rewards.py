@@ -6,9 +6,10 @@ test_outcomes: array<struct<name, status>>>>>.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EXECUTION = (
@@ -25,70 +26,111 @@ MODES = ("binary_all_tests_pass", "fractional_pass_rate", "partial_credit")
 STATUS_ORDER = ("timeout", "security_rejected", "parse_error", "runtime_error", "failed", "skipped", "passed")
 
 
+PHASES = ("syntax", "import", "public_tests", "hidden_tests", "robustness_tests")
+
+
 def phase(e: Column, name: str) -> Column:
     return F.get(F.filter(e["phases"], lambda p: p["name"] == name), F.lit(0))
 
 
-def _ran(p: Column) -> Column:
-    return F.filter(F.coalesce(p["test_outcomes"], F.array().cast("array<struct<name:string,status:string,error:string>>")), lambda o: o["status"] != "skipped")
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once however often it is used: the optimizer pastes
+    projections into one another, but not into a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _share(outcomes: Column) -> Column:
-    return F.size(F.filter(outcomes, lambda o: o["status"] == "passed")) / F.size(outcomes)
+def _flat(p: Column) -> Column:
+    """What scoring needs of a phase; ran counts tests that weren't skipped."""
+    count = lambda keep: F.greatest(F.lit(0), F.coalesce(F.size(F.filter(p["test_outcomes"], keep)), F.lit(0)))
+    return F.struct(p["name"].alias("name"), p["status"].alias("status"), p["tests_run"].alias("tests_run"), count(lambda o: o["status"] != "skipped").alias("ran"), count(lambda o: o["status"] == "passed").alias("ok"))
 
 
-def passed(p: Column) -> Column:
-    return F.coalesce(p["status"] == "passed", F.lit(False))
+def outline(e: Column) -> Column:
+    """status and passed of an execution, and by name what _flat() says of its phases (null: none). Lambdas
+    end here: scores are plain expressions of this."""
 
+    def named(ps: Column) -> Column:
+        has = lambda s: F.coalesce(F.exists(ps, lambda p: p["status"] == s), F.lit(False))
+        at = lambda name: F.get(F.filter(ps, lambda p: p["name"] == name), F.lit(0)).alias(name)
+        return F.struct(e["status"].alias("status"), F.coalesce(e["passed"], F.lit(False)).alias("passed"), has("timeout").alias("timeout"), has("runtime_error").alias("runtime_error"), *map(at, PHASES))
+
+    return bound(F.transform(e["phases"], _flat), named)
+
+
+def outlined(e: Column, use: Callable[[Column], Column]) -> Column:
+    """use(outline of an execution), with the outline computed once."""
+    return bound(outline(e), use)
 
-def fraction(p: Column) -> Column:
-    """Share of tests passed, of those not skipped; without tests, whether the phase passed."""
-    ran = _ran(p)
-    return F.when(p.isNull() | (p["status"] == "skipped"), 0.0).when(F.size(ran) > 0, _share(ran)).otherwise(passed(p).cast("double"))
 
+def scored(df: DataFrame, schemes: dict[str, Callable[[Column], Column]], execution: str = "execution") -> DataFrame:
+    """df with a column for each scheme, a function of outlines. The outline is a column of its own, which the
+    optimizer doesn't paste into its many uses, so that these are compiled."""
+    made = df.withColumn("__outline", outline(F.col(execution)))
+    return made.select(*(F.col(f"`{c}`") for c in df.columns), *(f(F.col("__outline")).alias(n) for n, f in schemes.items()))
 
-def available(p: Column) -> Column:
-    return F.coalesce(p.isNotNull() & (p["status"] != "skipped") & (p["tests_run"] > 0), F.lit(False))
 
+def _penalties(o: Column, off: tuple[str, ...], values: dict[str, float]) -> list[tuple[str, Column, float]]:
+    when = {"syntax_error": o["status"] == "parse_error", "unsafe_code": o["status"] == "security_rejected", "timeout": o["timeout"], "runtime_error": o["runtime_error"]}
+    return [(n, F.coalesce(c, F.lit(False)), values[n]) for n, c in when.items() if n not in off]
 
-def _any_phase(e: Column, status: str) -> Column:
-    return F.exists(e["phases"], lambda p: p["status"] == status)
+
+def _named(pens: list[tuple[str, Column, float]]) -> Column:
+    return F.array_compact(F.array(*(F.when(c, F.struct(F.lit(n).alias("name"), F.lit(v).alias("value"))) for n, c, v in pens)))
 
 
 def penalties(e: Column, off: tuple[str, ...] = (), values: dict[str, float] = PENALTIES) -> Column:
     """Names and values of the penalties that apply."""
-    when = {"syntax_error": e["status"] == "parse_error", "unsafe_code": e["status"] == "security_rejected", "timeout": _any_phase(e, "timeout"), "runtime_error": _any_phase(e, "runtime_error")}
-    return F.filter(F.array(*(F.when(c, F.struct(F.lit(n).alias("name"), F.lit(values[n]).alias("value"))) for n, c in when.items() if n not in off)), lambda p: p.isNotNull())
+    return outlined(e, lambda o: _named(_penalties(o, off, values)))
 
 
-def _components(rows: list[tuple[str, Column, float, Column]], normalize: bool) -> Column:
-    weight = F.greatest(sum((F.when(a, w).otherwise(0.0) for _, _, w, a in rows), F.lit(0.0)), F.lit(1e-300)) if normalize else F.lit(1.0)
-    return F.array(*(F.struct(F.lit(n).alias("name"), v.alias("value"), F.when(a, w / weight).otherwise(w).alias("weight"), F.when(a, v * w / weight).otherwise(0.0).alias("weighted_value"), a.alias("available")) for n, v, w, a in rows))
+def _scored(rows: list[tuple[str, Column, float, Column]], pens: list[tuple[str, Column, float]], normalize: bool, low: float, high: float) -> Column:
+    """rows: name, value, weight and availability of components. With normalize, weights of what isn't available go to the rest."""
+    whole = F.greatest(sum((F.when(a, w).otherwise(0.0) for _, _, w, a in rows), F.lit(0.0)), F.lit(1e-300)) if normalize else F.lit(1.0)
+    parts = [(n, v, F.when(a, w / whole).otherwise(float(w)), F.when(a, v * (w / whole)).otherwise(0.0), a) for n, v, w, a in rows]
+    components = F.array(*(F.struct(F.lit(n).alias("name"), v.alias("value"), w.alias("weight"), x.alias("weighted_value"), a.alias("available")) for n, v, w, x, a in parts))
+    before = sum((x for _, _, _, x, _ in parts), F.lit(0.0))
+    minus = sum((F.when(c, v).otherwise(0.0) for _, c, v in pens), F.lit(0.0))
+    reward = F.greatest(F.lit(low), F.least(F.lit(high), before + minus))
+    return F.struct(reward.alias("reward"), before.alias("score_before_penalty"), minus.alias("total_penalty"), components.alias("components"), _named(pens).alias("penalties"))
 
 
-def _total(components: Column, pens: Column, low: float, high: float) -> Column:
-    before = F.aggregate(components, F.lit(0.0), lambda acc, c: acc + c["weighted_value"])
-    minus = F.aggregate(pens, F.lit(0.0), lambda acc, p: acc + p["value"])
-    reward = F.greatest(F.lit(low), F.least(F.lit(high), before + minus))
-    return F.struct(reward.alias("reward"), before.alias("score_before_penalty"), minus.alias("total_penalty"), components.alias("components"), pens.alias("penalties"))
+def _passed(p: Column) -> Column:
+    return F.coalesce(p["status"] == "passed", F.lit(False))
 
 
-def correctness(e: Column, weights: dict[str, float] = WEIGHTS) -> Column:
-    """Weighted fractions of phases; weights of what isn't available go to the rest."""
-    both = (passed(phase(e, "syntax")) & passed(phase(e, "import"))).cast("double")
+def _fraction(p: Column) -> Column:
+    """Share of tests passed, of those not skipped; without tests, whether the phase passed."""
+    return F.when(p["status"].isNull() | (p["status"] == "skipped"), 0.0).when(p["ran"] > 0, p["ok"] / p["ran"]).otherwise(_passed(p).cast("double"))
+
+
+def _available(p: Column) -> Column:
+    return F.coalesce((p["status"] != "skipped") & (p["tests_run"] > 0), F.lit(False))
+
+
+def correctness_of(o: Column, weights: dict[str, float] = WEIGHTS) -> Column:
+    """Weighted fractions of phases of an outline; weights of what isn't available go to the rest."""
+    both = (_passed(o["syntax"]) & _passed(o["import"])).cast("double")
     rows = [("syntax_and_import_success", both, weights["syntax_and_import_success"], F.lit(True))]
-    rows += [(f"{n}_test_fraction", fraction(p), weights[f"{n}_test_fraction"], available(p)) for n in ("public", "hidden", "robustness") for p in [phase(e, f"{n}_tests")]]
-    return _total(_components(rows, True), penalties(e), -1.0, 1.0)
+    rows += [(f"{n}_test_fraction", _fraction(o[f"{n}_tests"]), weights[f"{n}_test_fraction"], _available(o[f"{n}_tests"])) for n in ("public", "hidden", "robustness")]
+    return _scored(rows, _penalties(o, (), PENALTIES), True, -1.0, 1.0)
 
 
-def pooled_fraction(e: Column) -> Column:
+def correctness(e: Column, weights: dict[str, float] = WEIGHTS) -> Column:
+    return outlined(e, lambda o: correctness_of(o, weights))
+
+
+def _pooled(o: Column) -> Column:
     """Share of all public and hidden tests passed; without outcomes the mean of available phases,
     without these whether the run passed."""
-    public, hidden = phase(e, "public_tests"), phase(e, "hidden_tests")
-    ran = F.concat(_ran(public), _ran(hidden))
-    n = available(public).cast("int") + available(hidden).cast("int")
-    mean = (F.when(available(public), fraction(public)).otherwise(0.0) + F.when(available(hidden), fraction(hidden)).otherwise(0.0)) / F.greatest(n, F.lit(1))
-    return F.when(F.size(ran) > 0, _share(ran)).when(n > 0, mean).otherwise(F.coalesce(e["passed"], F.lit(False)).cast("double"))
+    both = (o["public_tests"], o["hidden_tests"])
+    ran, ok = (sum((F.coalesce(p[c], F.lit(0)) for p in both), F.lit(0)) for c in ("ran", "ok"))
+    n = sum((_available(p).cast("int") for p in both), F.lit(0))
+    mean = sum((F.when(_available(p), _fraction(p)).otherwise(0.0) for p in both), F.lit(0.0)) / F.greatest(n, F.lit(1))
+    return F.when(ran > 0, ok / ran).when(n > 0, mean).otherwise(o["passed"].cast("double"))
+
+
+def pooled_fraction(e: Column) -> Column:
+    return outlined(e, _pooled)
 
 
 @dataclass(frozen=True)
@@ -110,24 +152,30 @@ class Mode:
             raise ValueError("weights and shaping can't be negative, nor low above high")
 
     def __call__(self, e: Column, code: Column | None = None) -> Column:
-        syntax, imported, public, hidden = (phase(e, n) for n in ("syntax", "import", "public_tests", "hidden_tests"))
+        return outlined(e, lambda o: self.of(o, code))
+
+    def of(self, o: Column, code: Column | None = None) -> Column:
+        """The score of an outline; several schemes can share one."""
         if self.mode == "binary_all_tests_pass":
-            rows = [("all_tests_pass", F.coalesce(e["passed"], F.lit(False)).cast("double"), 1.0, F.lit(True))]
+            rows = [("all_tests_pass", o["passed"].cast("double"), 1.0, F.lit(True))]
         elif self.mode == "fractional_pass_rate":
-            rows = [("test_pass_fraction", pooled_fraction(e), 1.0, F.lit(True))]
+            rows = [("test_pass_fraction", _pooled(o), 1.0, F.lit(True))]
         else:
             w = self.weights
-            rows = [
-                ("syntax_success", passed(syntax).cast("double"), w["syntax_success"], syntax.isNotNull()),
-                ("import_success", passed(imported).cast("double"), w["import_success"], imported.isNotNull()),
-                ("public_test_fraction", fraction(public), w["public_test_fraction"], available(public)),
-                ("hidden_test_fraction", fraction(hidden), w["hidden_test_fraction"], available(hidden)),
-            ]
+            rows = [(f"{n}_success", _passed(o[n]).cast("double"), w[f"{n}_success"], o[n].isNotNull()) for n in ("syntax", "import")]
+            rows += [(f"{n}_test_fraction", _fraction(o[f"{n}_tests"]), w[f"{n}_test_fraction"], _available(o[f"{n}_tests"])) for n in ("public", "hidden")]
         if self.compile_bonus:
-            rows.append(("compile_success_bonus", passed(syntax).cast("double"), self.compile_bonus, F.lit(True)))
+            rows.append(("compile_success_bonus", _passed(o["syntax"]).cast("double"), self.compile_bonus, F.lit(True)))
         if self.length_penalty and code is not None:
             rows.append(("length_penalty", -F.length(code) / 1000, self.length_penalty, F.length(code) > 0))
-        return _total(_components(rows, False), penalties(e, self.off), self.low, self.high)
+        return _scored(rows, _penalties(o, self.off, PENALTIES), False, self.low, self.high)
+
+
+def scorer(name: str = "correctness", **options) -> Callable[[Column], Column]:
+    """A scheme for scored() by name: correctness, or one of MODES with its options."""
+    if name == "correctness":
+        return lambda o: correctness_of(o, **options)
+    return Mode(name, **options).of
 
 
 def revision_discount(reward: Column, revisions: Column, discount: float = 1.0, mode: str = "positive_only", step_penalty: float = 0.0) -> Column:
@@ -143,7 +191,7 @@ def efficiency(e: Column, reference_seconds: float | None) -> Column:
     """Logarithm of reference over run time, within -1 and 1, of passed runs; and whether a phase timed out."""
     ran = F.coalesce(e["passed"], F.lit(False)) & (e["duration_seconds"] > 0) & F.lit(bool(reference_seconds))
     score = F.when(ran, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.log(F.lit(float(reference_seconds or 1)) / F.when(ran, e["duration_seconds"])))))
-    return F.struct(_any_phase(e, "timeout").alias("timeout"), score.alias("relative_runtime_score"))
+    return F.struct(F.exists(e["phases"], lambda p: p["status"] == "timeout").alias("timeout"), score.alias("relative_runtime_score"))
 
 
 def fold_status(statuses: Column) -> Column:

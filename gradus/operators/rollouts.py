@@ -100,12 +100,16 @@ def self_debug(rollouts: DataFrame, check: Callable[[DataFrame], DataFrame], mos
     return now
 
 
-def skip_reason(source: str = "parsed_code", failed_parses: bool = False) -> Column:
-    """Why a rollout can't be a training sample; null if it can. The first reason counts."""
+def skip_reason(source: str = "parsed_code", failed_parses: bool = False, response_tokens: Column | None = None) -> Column:
+    """Why a rollout can't be a training sample; null if it can. The first reason counts: how the parse
+    ended, a blank response, a reward that is null or no number, and, with response_tokens, none of them."""
     response = F.col("raw_completion") if source == "raw_completion" else F.col("parsed.code")
-    out = F.when(F.coalesce(F.col("reward").try_cast("double"), F.lit(float("nan"))).isNull() | (F.col("reward").isNotNull() & F.col("reward").try_cast("double").isNull()), "invalid_reward")
-    out = F.coalesce(F.when(F.size(text.tokens(F.coalesce(response, F.lit("")))) == 0, "empty_response_text"), out)
-    return out if failed_parses else F.coalesce(F.when(F.col("parsed.status") != "ok", F.concat(F.lit("parse_status_"), F.col("parsed.status"))), out)
+    reasons = [] if failed_parses else [F.when(F.col("parsed.status") != "ok", F.concat(F.lit("parse_status_"), F.col("parsed.status")))]
+    reasons.append(F.when(F.size(text.tokens(F.coalesce(response, F.lit("")))) == 0, "empty_response_text"))
+    reasons.append(F.when(F.col("reward").try_cast("double").isNull(), "invalid_reward"))
+    if response_tokens is not None:
+        reasons.append(F.when(response_tokens == 0, "empty_response_tokens"))
+    return F.coalesce(*reasons)
 
 
 def packed(prompt: Column, response: Column, most_prompt: int | None = None, most_response: int | None = None) -> Column:
@@ -118,8 +122,9 @@ def packed(prompt: Column, response: Column, most_prompt: int | None = None, mos
 
 def training_batch(rollouts: DataFrame, source: str = "parsed_code", failed_parses: bool = False, least_std: float = 1e-8, **limits) -> tuple[DataFrame, DataFrame]:
     """(samples with ids, masks and group advantages, skipped rollouts with reasons)."""
-    routed = rollouts.withColumn("skip_reason", skip_reason(source, failed_parses))
     response = F.col("raw_completion") if source == "raw_completion" else F.col("parsed.code")
-    good = routed.where("skip_reason is null").withColumn("reward", F.coalesce(F.col("reward").try_cast("double"), F.lit(0.0))).withColumn("passed", F.coalesce("passed", F.lit(False)) if "passed" in rollouts.columns else F.lit(False))
-    samples = evaluate.standardized(good.withColumn("packed", packed(F.col("prompt"), response, **limits)), least_std)
+    made = rollouts.withColumn("packed", packed(F.col("prompt"), F.coalesce(response, F.lit("")), **limits))
+    routed = made.withColumn("skip_reason", skip_reason(source, failed_parses, F.col("packed.response_tokens")))
+    good = routed.where("skip_reason is null").withColumn("reward", F.col("reward").try_cast("double")).withColumn("passed", F.coalesce("passed", F.lit(False)) if "passed" in rollouts.columns else F.lit(False))
+    samples = evaluate.standardized(good, least_std)
     return samples.select("task_id", "sample_index", "packed.*", "reward", "advantage"), routed.where("skip_reason is not null").select("task_id", "sample_index", "skip_reason")

@@ -116,6 +116,41 @@ def value_loss(values: Column, old: Column, returns: Column, clip: float | None
     return F.struct((_sum(F.transform(each, lambda e: e["loss"])) / F.size(each)).alias("value_loss"), F.size(F.filter(each, lambda e: e["clipped"])).alias("clipped_values"))
 
 
+def response_positions(mask: Column) -> Column:
+    """Places, from 0, of the response's tokens."""
+    return F.filter(F.transform(mask, lambda m, i: F.when(m != 0, i)), lambda i: i.isNotNull())
+
+
+def response_rewards(reward: Column, rewards: Column, mask: Column) -> Column:
+    """Rewards of the response's tokens: the reward at the last one if rewards is null; those of the
+    response's places if rewards is as long as the mask; rewards itself if it is as long as the response."""
+    at = response_positions(mask)
+    wrong = F.raise_error(F.lit("rewards must be as long as the input or the response")).cast("array<double>")
+    return F.when(rewards.isNull(), sparse_rewards(reward, F.size(at))).when(F.size(rewards) == F.size(mask), F.transform(at, lambda i: F.get(rewards, i).cast("double"))).when(F.size(rewards) == F.size(at), rewards.cast("array<double>")).otherwise(wrong)
+
+
+def critic_losses(samples: DataFrame, clip: float = 0.2, value_clip: float | None = 0.2, value_coef: float = 0.5, entropy_coef: float = 0.0, kl_beta: float = 0.0, gamma: float = 1.0, lam: float = 0.95, limit: float = 20.0, normalized: bool = False) -> DataFrame:
+    """samples with targets, from rewards and values of the response's tokens, and loss: clipped policy loss, value loss,
+    entropy bonus and divergence, weighted, and their sum.
+
+    samples has arrays over the response's tokens: rewards, values, old_values, policy and old, and where asked for
+    reference (with kl_beta) and entropy. Returns are advantages plus old values; advantages are normalized after that.
+    """
+    if kl_beta and "reference" not in samples.columns:
+        raise ValueError("a divergence needs reference log-probabilities")
+    made = samples.withColumn("advantages", advantages(F.col("rewards"), F.col("old_values"), gamma, lam))
+    made = made.withColumn("returns", F.zip_with("advantages", "old_values", lambda a, v: a + v))
+    made = normalize(made) if normalized else made
+    reference = F.col("reference") if "reference" in samples.columns else None
+    policy = policy_loss(F.col("policy"), F.col("old"), F.col("advantages"), reference, clip, kl_beta, limit, clamp_both=False)
+    made = made.withColumn("__p", policy).withColumn("__v", value_loss(F.col("values"), F.col("old_values"), F.col("returns"), value_clip))
+    mean_entropy = _sum(F.col("entropy")) / F.size("entropy") if "entropy" in samples.columns else F.lit(0.0)
+    parts = {"policy_loss": F.col("__p.policy_loss"), "value_loss": value_coef * F.col("__v.value_loss"), "entropy_loss": -entropy_coef * mean_entropy, "kl_loss": F.col("__p.kl_loss")}
+    more = {"tokens": F.col("__p.tokens"), "mean_ratio": F.col("__p.mean_ratio"), "clipped_tokens": F.col("__p.clipped_tokens"), "clipped_values": F.col("__v.clipped_values"), "mean_entropy": mean_entropy}
+    loss = F.struct(*(x.alias(n) for n, x in {**parts, "total_loss": sum(parts.values(), F.lit(0.0)), **more}.items()))
+    return made.withColumn("loss", loss).drop("__p", "__v")
+
+
 def batch_loss(samples: DataFrame, column: str = "loss") -> DataFrame:
     """Loss of a batch: the mean over samples of their means; clip fraction over tokens."""
     c = F.col(column)

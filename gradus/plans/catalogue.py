@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradus.functions import code, stats, text
-from gradus.operators import contamination, curves, evaluate, experiments, paired, rewards, sequences, splits, traces
+from gradus.operators import contamination, curves, evaluate, execution, experiments, paired, rewards, selection, sequences, splits, traces
 from gradus.sources import records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,7 +97,7 @@ def pass_at_k_grid(spark, d):
     return rounded(grid.select("n", "c", *(stats.pass_at_k(F.col("n"), F.col("c"), k).alias(f"pass_at_{k}") for k in (1, 2, 5, 10))))
 
 
-ADV = "WITH g AS (SELECT l_orderkey AS task_id, l_linenumber AS sample_index, l_discount AS reward, avg(l_discount) OVER w AS m, stddev_pop(l_discount) OVER w AS s FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)) SELECT task_id, sample_index::BIGINT AS sample_index, round(CASE WHEN s > {eps} THEN (reward - m) / s ELSE 0 END, 6) + 0.0 AS advantage FROM g"
+ADV = "WITH g AS (SELECT l_orderkey AS task_id, l_linenumber AS sample_index, l_discount AS reward, avg(l_discount) OVER w AS m, stddev_pop(l_discount) OVER w AS s, count(*) OVER w * sum(round(l_discount * 1e9)::HUGEINT * round(l_discount * 1e9)::HUGEINT) OVER w - (sum(round(l_discount * 1e9)::HUGEINT) OVER w) * (sum(round(l_discount * 1e9)::HUGEINT) OVER w) AS v, count(*) OVER w * round({eps} * 1e9)::HUGEINT AS e FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)) SELECT task_id, sample_index::BIGINT AS sample_index, round(CASE WHEN v > e * e THEN (reward - m) / s ELSE 0 END, 6) + 0.0 AS advantage FROM g"
 
 
 @query(ADV.format(eps="1e-8"))
@@ -292,7 +292,7 @@ EXE = f"WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity::INT AS q, l_retu
 
 @query(EXE + " SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(greatest(-1, least(1, CASE WHEN flag = 'N' THEN (0.2 + 0.3 * pub + 0.4 * hid) / 0.9 ELSE (0.2 + 0.3 * pub) / 0.5 END + pen)), 6)::DOUBLE AS reward, round(pen, 6)::DOUBLE AS penalty FROM f")
 def reward_correctness(spark, d):
-    r = executions(spark, d).select("l_orderkey", "l_linenumber", rewards.correctness(F.col("execution")).alias("r"))
+    r = rewards.scored(executions(spark, d), {"r": rewards.scorer()})
     return rounded(r.select("l_orderkey", "l_linenumber", "r.reward", F.col("r.total_penalty").alias("penalty")))
 
 
@@ -301,9 +301,9 @@ def reward_correctness(spark, d):
     + " SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(CASE WHEN flag = 'N' THEN 1.0 ELSE pen END, 6)::DOUBLE AS binary_reward, round(greatest(-1, least(1, CASE WHEN flag = 'N' THEN (pub * (q % 4 + 1) + hid * (q % 5 + 1)) / (q % 4 + 1 + q % 5 + 1) ELSE pub END + pen)), 6)::DOUBLE AS fractional, round(greatest(-1, least(1, 0.2 + 0.4 * pub + 0.4 * hid + pen)), 6)::DOUBLE AS partial, round(greatest(-1, least(1, 0.2 + 0.4 * pub + 0.4 * hid + 0.05 - 0.02 * length(flag) / 1000)), 6)::DOUBLE AS shaped FROM f"
 )
 def reward_modes(spark, d):
-    e = F.col("execution")
     scorers = {"binary_reward": rewards.Mode("binary_all_tests_pass"), "fractional": rewards.Mode("fractional_pass_rate"), "partial": rewards.Mode(), "shaped": rewards.Mode(compile_bonus=0.05, length_penalty=0.02, off=("timeout",))}
-    return rounded(executions(spark, d).select("l_orderkey", "l_linenumber", *(s(e, F.col("flag"))["reward"].alias(n) for n, s in scorers.items())))
+    made = rewards.scored(executions(spark, d), {n: lambda o, m=m: m.of(o, F.col("flag"))["reward"] for n, m in scorers.items()})
+    return rounded(made.select("l_orderkey", "l_linenumber", *scorers))
 
 
 @query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_returnflag = 'A' AS timeout, round(CASE WHEN l_returnflag = 'N' AND l_quantity > 0 THEN greatest(-1, least(1, ln(2.0 / (l_quantity::INT / 10.0)))) END, 6)::DOUBLE AS score, CASE WHEN l_returnflag = 'A' THEN 'timeout' WHEN l_returnflag = 'R' THEN 'failed' ELSE 'passed' END AS final FROM lineitem")
@@ -527,3 +527,93 @@ def ext_windows(spark, d):
 def ext_sessions(spark, d):
     e = table(spark, d, "events")
     return e.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("started"), "n")
+
+
+def programming_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """part in the role of tasks: names by key, one or two assertions by size and price."""
+    name = F.concat(F.lit("f_"), F.col("p_partkey").cast("string"))
+    price = F.floor("p_retailprice").cast("string")
+    first = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("assert "), name, F.lit("() == "), price)).when(F.col("p_size") % 3 == 1, F.concat(F.lit("assert "), name, F.lit("("), F.col("p_size").cast("string"), F.lit(") == "), price)).otherwise(F.concat(F.lit("print("), name, F.lit("(1))")))
+    tests = F.when(F.col("p_size") % 2 == 0, F.array(first)).otherwise(F.array(F.lit("self.assertEqual(1, 1)"), first))
+    starter = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("def "), name, F.lit("(x):\n    pass\n"))).otherwise("")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("task_id"), F.col("p_name").alias("prompt"), starter.alias("starter_code"), F.when(F.col("p_size") % 4 == 0, name).otherwise("").alias("told"), tests.alias("tests"), name.alias("name"), "p_size")
+
+
+PART = "WITH t AS (SELECT p_partkey AS task_id, p_name, p_size, 'f_' || p_partkey AS name, floor(p_retailprice)::BIGINT AS price FROM part), x AS (SELECT *, CASE p_size % 3 WHEN 0 THEN 'assert ' || name || '() == ' || price WHEN 1 THEN 'assert ' || name || '(' || p_size || ') == ' || price ELSE 'print(' || name || '(1))' END AS test FROM t)"
+
+
+@query(PART + " SELECT task_id, name AS entry FROM x")
+def entry_points(spark, d):
+    return programming_tasks(spark, d).select("task_id", text.entry_point(F.col("tests"), F.col("told")).alias("entry"))
+
+
+@query(
+    PART
+    + " SELECT task_id, CASE p_size % 3 WHEN 0 THEN 'def ' || name || '():' || chr(10) || '    return ' || price || chr(10) WHEN 1 THEN 'def ' || name || '(x):' || chr(10) || '    return x' || CASE WHEN price > p_size THEN ' + ' || (price - p_size) WHEN price < p_size THEN ' - ' || (p_size - price) ELSE '' END || chr(10) ELSE 'pass' END AS code FROM x"
+)
+def simple_repairs(spark, d):
+    return programming_tasks(spark, d).select("task_id", code.simple_repair("name", "tests", F.lit("pass")).alias("code"))
+
+
+@query(
+    PART
+    + ", p AS (SELECT *, 'You are a careful Python coding assistant.' || chr(10) || 'Solve the task by writing correct, executable Python code.' || chr(10) || 'Return only the final code.' || chr(10) || 'Wrap the code in a single ```python fenced block.' || chr(10) || chr(10) || 'Task:' || chr(10) || trim(p_name) || CASE WHEN p_size % 4 = 0 THEN chr(10) || chr(10) || 'Required entry point: `' || name || '`' ELSE '' END"
+    + " || CASE WHEN p_size % 5 = 0 THEN chr(10) || chr(10) || 'Starter code:' || chr(10) || '```python' || chr(10) || 'def ' || name || '(x):' || chr(10) || '    pass' || chr(10) || '```' ELSE '' END AS head FROM x)"
+    + " SELECT task_id, head || chr(10) AS direct, head || chr(10) || chr(10) || 'Public tests:' || chr(10) || '```python' || chr(10) || CASE WHEN p_size % 2 = 0 THEN '' ELSE 'self.assertEqual(1, 1)' || chr(10) END || test || chr(10) || '```' || chr(10) AS with_tests FROM p"
+)
+def rendered_prompts(spark, d):
+    args = (F.col("prompt"), F.col("starter_code"), F.col("told"), F.col("tests"))
+    return programming_tasks(spark, d).select("task_id", text.render_prompt(*args).alias("direct"), text.render_prompt(*args, "direct_solution_with_public_tests_v1").alias("with_tests"))
+
+
+@query(
+    "WITH x AS (SELECT role, text, " + WORDS + " AS w, " + LINES + " AS l FROM conversations), r AS (SELECT role AS value, role <> 'system' AS ok, len(w) AS n, len(w) = 0 OR (len(l) >= 4 AND len(list_distinct(l)) <= 0.5 * len(l)) OR (len(w) >= 20 AND len(list_distinct(w)) <= 0.2 * len(w)) AS bad FROM x WHERE text IS NOT NULL)"
+    " SELECT value, count(*) AS rollouts, round(avg((NOT ok)::INT), 6) AS parse_failure_rate, round(avg(bad::INT), 6) AS degenerate_rate, round(avg(n), 6) AS mean_tokens, round(median(n), 6) AS median_tokens, max(n)::DOUBLE AS max_tokens FROM r GROUP BY value"
+)
+def eval_output_summary(spark, d):
+    x = F.col("text")
+    rows = table(spark, d, "conversations").where("text is not null").select(
+        F.col("conv_id").alias("task_id"), F.col("turn").alias("sample_index"), "role", F.when(F.col("role") == "system", "failed").otherwise("ok").alias("parse_status"), text.is_degenerate(x).alias("degenerate"), text.token_count(x).alias("tokens"), F.lit(0.0).alias("reward"), F.lit(False).alias("passed")
+    )
+    got = evaluate.by_fields(rows, {"role": F.col("role")}, (1,))
+    return rounded(got.select("value", "rollouts", "parse_failure_rate", "degenerate_rate", "mean_tokens", "median_tokens", "max_tokens"))
+
+
+@query(
+    "WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity::INT AS q, l_returnflag AS f FROM lineitem), y AS (SELECT *, q % 4 + 1 AS n, len(list_filter(range(1, q % 4 + 2), lambda i: (i + q) % 3 <> 0)) AS ok, q % 5 + 1 AS m, len(list_filter(range(1, q % 5 + 2), lambda i: (2 * i + q) % 3 <> 0)) AS okm FROM x)"
+    " SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, 'public_tests ' || ok || '/' || n || CASE WHEN f = 'N' THEN '; hidden_tests ' || okm || '/' || m ELSE '' END AS outcomes, CASE f WHEN 'A' THEN 'timeout' WHEN 'R' THEN 'failed' ELSE 'passed' END AS status, CASE f WHEN 'N' THEN 4 ELSE 3 END::BIGINT AS phases FROM y"
+)
+def phase_outcomes(spark, d):
+    ph = F.col("execution.phases")
+    return rounded(executions(spark, d).select("l_orderkey", "l_linenumber", execution.outcome_summary(ph).alias("outcomes"), execution.run_status(ph).alias("status"), F.size(execution.stopped_at_first(ph)).alias("phases")))
+
+
+@query("WITH x AS (SELECT *, 'def f(x):' || chr(10) || '    return ' || CASE p_size % 3 WHEN 0 THEN '7' WHEN 1 THEN 'x' ELSE 'x + 1' END || chr(10) AS code FROM part) SELECT 'scanned' AS reason, count(*) AS rollouts FROM x UNION ALL SELECT 'flagged', count(*) FROM x WHERE p_size % 3 = 0 UNION ALL SELECT 'entry function ignores its arguments (constant output)', count(*) FROM x WHERE p_size % 3 = 0")
+def hacking_scan_counts(spark, d):
+    body = F.when(F.col("p_size") % 3 == 0, "7").when(F.col("p_size") % 3 == 1, "x").otherwise("x + 1")
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("task_id"), F.lit(0).alias("sample_index"), F.concat(F.lit("def f(x):\n    return "), body, F.lit("\n")).alias("code"))
+    tasks = table(spark, d, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("task_id"), F.lit("f").alias("entry_point"), F.array(F.lit("assert f(1) == 2")).alias("visible_tests"))
+    return execution.hacking_counts(execution.hacking_scan(rows, tasks))
+
+
+@query("SELECT event_id, CASE WHEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS k, NULL::DOUBLE AS missing, json_extract_string(props, '$.k') AS copied FROM events")
+def optional_fields(spark, d):
+    props = F.col("props")
+    return table(spark, d, "events").select("event_id", selection.optional_number(props, "k").alias("k"), selection.optional_number(props, "no.such").alias("missing"), selection.scalar_metadata(props, "m_")["m_k"].alias("copied"))
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 20")
+def first_in_order(spark, d):
+    """The limit is the operator."""
+    return selection.first_rows(table(spark, d, "orders").where("o_orderstatus = 'O'"), ["o_orderdate", "o_orderkey"], 20).select("o_orderkey", "o_orderdate")
+
+
+@query(
+    "WITH e AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: x::DOUBLE) AS v, label FROM embeddings), g AS (SELECT *, 1.0 * label / 10 AS r FROM e), d AS (SELECT *, r - v[4] AS a4 FROM g), d3 AS (SELECT *, v[4] - v[3] + 0.95 * a4 AS a3 FROM d), d2 AS (SELECT *, v[3] - v[2] + 0.95 * a3 AS a2 FROM d3), d1 AS (SELECT *, v[2] - v[1] + 0.95 * a2 AS a1 FROM d2),"
+    " t AS (SELECT vec_id, unnest(v) AS v, unnest([a1, a2, a3, a4]) AS a FROM d1), k AS (SELECT *, exp(0.1 * v) AS ratio, a + v AS ret FROM t), l AS (SELECT vec_id, -avg(least(ratio * a, least(greatest(ratio, 0.8), 1.2) * a)) AS pl, avg(greatest((1.5 * v - ret) ** 2, (v + least(greatest(0.5 * v, -0.2), 0.2) - ret) ** 2)) AS vl, avg(abs(v)) AS en FROM k GROUP BY vec_id)"
+    " SELECT vec_id, round(pl, 6) AS policy_loss, round(0.5 * vl, 6) AS value_loss, round(-0.01 * en, 6) AS entropy_loss, round(pl + 0.5 * vl - 0.01 * en, 6) AS total_loss FROM l"
+)
+def critic_objective(spark, d):
+    v = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
+    rows = table(spark, d, "embeddings").select("vec_id", v.alias("old_values"), F.transform(v, lambda x: x * 1.5).alias("values"), F.transform(v, lambda x: x * 0.1).alias("policy"), F.transform(v, lambda x: x * 0.0).alias("old"), F.transform(v, F.abs).alias("entropy"), sequences.response_rewards(F.col("label") / 10, F.lit(None).cast("array<double>"), F.array(*map(F.lit, (0, 1, 1, 1, 1)))).alias("rewards"))
+    return rounded(sequences.critic_losses(rows, entropy_coef=0.01).select("vec_id", "loss.policy_loss", "loss.value_loss", "loss.entropy_loss", "loss.total_loss"))

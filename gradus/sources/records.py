@@ -68,7 +68,7 @@ def read_tasks(spark: SparkSession, path: str, unique: bool = True) -> DataFrame
 
 
 def _tests(codes: Column, visibility: str, prefix: str) -> Column:
-    named = F.transform(codes, lambda c, i: F.struct(F.concat(F.lit(f"{prefix}_"), (i + 1).cast("string")).alias("name"), c.alias("code"), F.lit(visibility).alias("visibility"), F.lit("unit").alias("kind")))
+    named = F.transform(codes, lambda c, i: F.struct(F.concat(F.lit(f"{prefix}-"), (i + 1).cast("string")).alias("name"), c.alias("code"), F.lit(visibility).alias("visibility"), F.lit("unit").alias("kind")))
     return F.filter(named, lambda t: strip(t["code"]) != "")
 
 
@@ -98,7 +98,7 @@ def read_mbpp(spark: SparkSession, path: str, split: str = "train", source: str
 
 def call_check(test: Column, entry: Column) -> Column:
     """Test code that defines check(candidate) without calling it gets the call."""
-    return F.when(F.contains(test, F.lit("def check(")) & ~F.contains(test, F.concat(F.lit("check("), entry, F.lit(")"))) & entry.isNotNull(), F.concat(F.regexp_replace(test, r"\s+$", ""), F.lit("\n\ncheck("), entry, F.lit(")\n"))).otherwise(test)
+    return F.when(F.contains(test, F.lit("def check(")) & ~F.contains(test, F.concat(F.lit("check("), entry, F.lit(")"))) & (F.coalesce(entry, F.lit("")) != ""), F.concat(F.regexp_replace(test, r"\s+$", ""), F.lit("\n\ncheck("), entry, F.lit(")"))).otherwise(test)
 
 
 def read_humaneval(spark: SparkSession, path: str, split: str = "test_public", source: str = "humaneval") -> DataFrame:
@@ -107,7 +107,7 @@ def read_humaneval(spark: SparkSession, path: str, split: str = "test_public", s
     full = lambda c: F.when(F.size(string_list(F.col(c))) > 0, string_list(F.col(c)))
     none = F.array().cast("array<string>")
     public = F.coalesce(full("public_tests"), full("visible_tests"), full("example_tests"), none)
-    hidden = F.concat(F.coalesce(full("hidden_tests"), full("tests"), full("test_list"), none), F.when(strip(F.coalesce("test", F.lit(""))) != "", F.array(call_check(F.col("test"), F.col("entry_point")))).otherwise(none))
+    hidden = F.concat(*(string_list(F.col(c)) for c in ("hidden_tests", "tests", "test_list")), F.when(strip(F.coalesce("test", F.lit(""))) != "", F.array(call_check(F.col("test"), F.col("entry_point")))).otherwise(none))
     tasks = r.select(
         scoped_id(F.lit(source), F.coalesce("task_id", F.col("ord").cast("string"))).alias("task_id"), F.lit(source).alias("source"), "prompt", F.lit(split).alias("split"), "entry_point", "starter_code", _tests(public, "public", "public").alias("public_tests"),
         _tests(hidden, "hidden", "hidden").alias("hidden_tests"), "tags", F.lit(None).cast("struct<timeout_seconds:double,memory_mb:int>").alias("resource_limits"), _metadata(reference_solution="canonical_solution", difficulty="difficulty").alias("metadata"), "ord",
@@ -124,7 +124,7 @@ def read_sidecar(spark: SparkSession, path: str) -> DataFrame:
 
     def tests(names: tuple[str, ...], visibility: str) -> Column:
         found = F.coalesce(*(F.try_variant_get("v", f"$.{n}", "array<variant>") for n in names), F.array().cast("array<variant>"))
-        made = F.transform(found, lambda t, i: F.struct(F.coalesce(F.try_variant_get(t, "$.name", "string"), F.concat(F.lit(f"{visibility}_"), (i + 1).cast("string"))).alias("name"), F.coalesce(F.try_variant_get(t, "$.code", "string"), F.try_variant_get(t, "$", "string")).alias("code"), F.lit(visibility).alias("visibility"), F.coalesce(F.try_variant_get(t, "$.kind", "string"), F.lit("unit")).alias("kind")))
+        made = F.transform(found, lambda t, i: F.struct(F.coalesce(F.try_variant_get(t, "$.name", "string"), F.concat(F.lit(f"{visibility}-"), (i + 1).cast("string"))).alias("name"), F.coalesce(F.try_variant_get(t, "$.code", "string"), F.try_variant_get(t, "$", "string")).alias("code"), F.lit(visibility).alias("visibility"), F.coalesce(F.try_variant_get(t, "$.kind", "string"), F.lit("unit")).alias("kind")))
         return F.filter(made, lambda t: strip(F.coalesce(t["code"], F.lit(""))) != "")
 
     return records.unionByName(by_key).select("key", tests(("public_tests",), "public").alias("public_tests"), tests(("hidden_tests", "tests"), "hidden").alias("hidden_tests"))

@@ -68,7 +68,7 @@ def test_text(spark):
     assert one(spark, text.escape_html(F.lit("<a b='c'>&\""))) == "&lt;a b=&#x27;c&#x27;&gt;&amp;&quot;"
     assert one(spark, F.size(text.fenced_blocks(F.lit("```py\na\n```\n```js\nb\n```")))) == 1
     assert one(spark, text.after_preamble(F.lit("well, def f(): pass"))) == "def f(): pass"
-    assert one(spark, text.last_line(F.lit("a\n b \n"))) == "b" and one(spark, text.last_line(F.lit(""))) == ""
+    assert one(spark, text.last_line(F.lit("a\n b \n"))) == " b" and one(spark, text.last_line(F.lit(""))) == ""
 
 
 def test_losses(spark):
@@ -179,7 +179,7 @@ def test_files(spark, tmp_path):
     assert (m.task_id, m.entry_point, len(m.public_tests), len(m.hidden_tests)) == ("mbpp/7", "g", 1, 2)
     (tmp_path / "h.jsonl").write_text(json.dumps({"task_id": "H/0", "prompt": "def h():", "entry_point": "h", "test": "def check(candidate):\n    assert candidate() == 1\n"}))
     h = records.read_humaneval(spark, str(tmp_path / "h.jsonl")).first()
-    assert h.hidden_tests[0].code.endswith("check(h)\n") and h.split == "test_public"
+    assert h.hidden_tests[0].code.endswith("\n\ncheck(h)") and h.split == "test_public"
     (tmp_path / "side.json").write_text(json.dumps({"1": {"hidden_tests": ["assert f(9)"]}}))
     s = records.apply_sidecar(records.read_mbpp(spark, str(tmp_path / "m.jsonl")).withColumn("task_id", F.lit("a/1")), records.read_sidecar(spark, str(tmp_path / "side.json"))).first()
     assert s.public_tests == [] and s.hidden_tests[0].code == "assert f(9)"
