@@ -79,33 +79,57 @@ def _slack(v: np.ndarray) -> float:
     return float(1e-20 * (v @ v))
 
 
-def nearest(tree: Tree, ids: np.ndarray, points: np.ndarray, q_id: int, q: np.ndarray, q_low: np.ndarray, k: int, stop: float, bound: float) -> list[tuple[int, float]]:
+def nearest(tree: Tree, ids: np.ndarray, points: np.ndarray, low: np.ndarray, q_id: int, q: np.ndarray, q_low: np.ndarray, k: int, stop: float, bound: float, seen: list[int] | None = None, chunk: int = 64) -> list[tuple[int, float]]:
     """The k nearest of the tree's points, in pairs (id, distance).
 
-    Leaves are taken in growing runs; all points not yet seen are at least as far, projected, as
-    the next leaf's box. stop is the chi-square quantile: the search ends when the square of
-    that distance exceeds stop times the square of the k-th true distance found, here or before
-    (bound). At k-th distance 0 nothing is left to find but larger ids. Projections of copies
-    may differ in their last bits, so leaves as near as that are always taken.
+    Points come in order of projected distance: leaves are opened in growing runs, and a point is due
+    once no unopened leaf's box is nearer. True distances are computed a chunk of points at a time. stop is the
+    chi-square quantile: the search ends when the square of the next projected distance exceeds stop times the
+    square of the k-th true distance found, here or before (bound). At k-th distance 0 nothing is left to find but
+    larger ids. Projections of copies may differ in their last bits, so points as near as that are always taken.
+    seen gets the number of true distances.
     """
     order, far = tree.leaves(q_low)
-    far = np.where(far <= _slack(q), 0.0, far)
+    slack = _slack(q)
+    far = np.where(far <= slack, 0.0, far)
     best_d, best_i = np.zeros(0), np.zeros(0, dtype=np.int64)
-    at, run = 0, 1
-    while at < len(order):
+    due_d, due = np.zeros(0), np.zeros(0, dtype=np.int64)
+    at, run, visited = 0, 1, 0
+
+    def over(d: float) -> bool:
         kth = best_d[k - 1] if len(best_d) >= k else np.inf
-        if far[at] > stop * min(kth, bound) ** 2 or (kth == 0 and far[at] > 0):
-            break
-        rows = np.concatenate([tree.order[tree.starts[leaf] : tree.starts[leaf + 1]] for leaf in order[at : at + run]])
-        rows = rows[ids[rows] != q_id]
-        d = np.sqrt(((points[rows] - q) ** 2).sum(axis=1))
-        best_d, best_i = np.concatenate([best_d, d]), np.concatenate([best_i, ids[rows]])
-        top = np.lexsort((best_i, best_d))
-        # A repeated id counts once, at its nearest.
-        _, first = np.unique(best_i[top], return_index=True)
-        top = top[np.sort(first)][:k]
-        best_d, best_i = best_d[top], best_i[top]
-        at, run = at + run, min(2 * run, 32)
+        return d > stop * min(kth, bound) ** 2 or (kth == 0 and d > 0)
+
+    while at < len(order) or len(due):
+        if at < len(order) and not over(far[at]):
+            rows = np.concatenate([tree.order[tree.starts[leaf] : tree.starts[leaf + 1]] for leaf in order[at : at + run]])
+            rows = rows[ids[rows] != q_id]
+            d = ((low[rows] - q_low) ** 2).sum(axis=1)
+            due_d, due = np.concatenate([due_d, np.where(d <= slack, 0.0, d)]), np.concatenate([due, rows])
+            by = np.lexsort((due, due_d))
+            due_d, due = due_d[by], due[by]
+            at, run = at + run, min(2 * run, 32)
+        else:
+            at = len(order)  # all that is left lies beyond
+        ready = int(np.searchsorted(due_d, far[at], side="right")) if at < len(order) else len(due)
+        taken = 0
+        while taken < ready:
+            if over(due_d[taken]):
+                at, due_d, due = len(order), due_d[:0], due[:0]
+                break
+            rows = due[taken : min(ready, taken + chunk)]
+            taken += len(rows)
+            visited += len(rows)
+            d = np.sqrt(((points[rows] - q) ** 2).sum(axis=1))
+            best_d, best_i = np.concatenate([best_d, d]), np.concatenate([best_i, ids[rows]])
+            top = np.lexsort((best_i, best_d))
+            # A repeated id counts once, at its nearest.
+            _, first = np.unique(best_i[top], return_index=True)
+            top = top[np.sort(first)][:k]
+            best_d, best_i = best_d[top], best_i[top]
+        due_d, due = due_d[taken:], due[taken:]
+    if seen is not None:
+        seen.append(visited)
     return list(zip(best_i.tolist(), best_d.tolist(), strict=True))
 
 
@@ -141,10 +165,12 @@ def split_cells(sample: np.ndarray, levels: int) -> Cells:
 _VEC = "array<double>"
 
 
-def search(vectors: DataFrame, is_query, k: int = 10, dims: int = 8, confidence: float = 0.98, block_rows: int = 8192, sample_rows: int = 20_000, max_cells: int = 4096, seed: int = 7) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 10, dims: int = 24, confidence: float = 0.93, block_rows: int = 8192, sample_rows: int = 20_000, max_cells: int = 4096, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: of every row of vectors (vec_id, embedding) where is_query
     holds, the k nearest found of all other rows, by Euclidean distance in double precision.
 
+    With 24 projections and a confidence of 0.93 about half of the points of `embeddings` (64 dimensions, far from
+    each other) are met before the test stops, at a recall of about 0.95; the README has the figures.
     The splits come from a sample of at most sample_rows rows, those with the smallest hash of
     vec_id; all rows are indexed. Left out are rows with null vec_id, with null or zero
     vectors, with null or non-finite components, and with another length than most vectors have.
@@ -224,7 +250,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, dims: int = 8, confidence:
             ids, full, low = p["id"].to_numpy(), np.stack(p["v"].to_numpy()), np.stack(p["low"].to_numpy())
             tree = Tree(low)
             for r in q.itertuples(index=False):
-                found += [(r.id, i, d) for i, d in nearest(tree, ids, full, r.id, np.asarray(r.v), np.asarray(r.low), k, stop, r.bound)]
+                found += [(r.id, i, d) for i, d in nearest(tree, ids, full, low, r.id, np.asarray(r.v), np.asarray(r.low), k, stop, r.bound)]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     route = f"cell int, part int, id long, v {_VEC}, low {_VEC}, bound double"

@@ -7,6 +7,7 @@ are scanned whole, in one pass and without a shuffle.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from importlib import resources
 
 import numpy as np
@@ -147,10 +148,11 @@ class Templates:
             short = len(template) < self.whole_below
             needed = len(template) if short else least * len(template)
             own = np.bincount(template, minlength=len(self.word))
-            while hits:
+            begin = 0
+            while begin < len(hits):
                 # Seeds within a band's width belong to one occurrence.
-                near = [h for h in hits if h[0] <= hits[0][0] + band]
-                hits = [h for h in hits if h[0] > hits[0][0] + band]
+                until = bisect_right(hits, (hits[begin][0] + band, len(words)), begin)
+                near, begin = hits[begin:until], until
                 shift = near[len(near) // 2][0]
                 start = max(0, shift - band)
                 part = words[start : shift + len(template) + band + 1]
@@ -173,9 +175,12 @@ def _has_run(words: np.ndarray, run: np.ndarray) -> bool:
 def _without_inner(found: list[tuple]) -> list[tuple]:
     """An occurrence within a longer one, or with fewer words of the same span, isn't told again."""
     out: list[tuple] = []
-    for f in sorted(set(found), key=lambda f: (f[2] - f[3], -f[5], -f[1], f[0], f[2])):
-        if not any(o[2] <= f[2] and f[3] <= o[3] for o in out):
+    end = -1
+    # By start, the longer first: what ends within those before lies within one of them.
+    for f in sorted(set(found), key=lambda f: (f[2], -f[3], -f[5], -f[1], f[0])):
+        if f[3] > end:
             out.append(f)
+            end = f[3]
     return sorted(out, key=lambda f: (f[2], f[0]))
 
 

@@ -53,4 +53,18 @@ FROM w LEFT JOIN c ON c.r = w.r JOIN reach ON reach.u = w.r JOIN w x ON x.r = re
 GROUP BY w.r, w.doc_id
 """
 
-ORACLES = {"op5_mixing": MIX.replace("{docs}", "documents"), "op10_ngram_join": NGRAM}
+#: SHA-1 in base 32: five hexadecimal digits make four characters.
+WARC = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+  SELECT page_id, payload_bytes, h, max(page_id) OVER (PARTITION BY h) AS last FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST(((('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5))::INTEGER >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
+FROM d
+"""
+
+ORACLES = {"op7_warc": WARC, "op5_mixing": MIX.replace("{docs}", "documents"), "op10_ngram_join": NGRAM}

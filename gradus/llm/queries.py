@@ -54,7 +54,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    """Each archive begins with a torn record, so that every page comes back through the salvage reader."""
+    return warc.round_trip(table(spark, sf_dir, "pages"), torn=True)
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ happens once: a batch that is applied again changes nothing.
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import uuid
 
@@ -85,10 +86,20 @@ class Rollup:
         return {c["batch"]: c for c in (json.loads(r.value) for r in lines)}
 
     def _taken(self) -> tuple[list[str], set[str]]:
-        """Tables to sum up and ids of the batches that they hold."""
+        """Tables to sum up and ids of the batches that they hold.
+
+        Compactions that ran at once may hold the same batches. The largest counts, then others that share none with
+        it; a batch that none of these holds counts by its own table, which is never deleted.
+        """
         commits = self.batches()
-        inner = {b for c in commits.values() for b in c.get("holds", ())}
-        return [c["table"] for b, c in commits.items() if b not in inner], {*commits, *inner}
+        held: set[str] = set()
+        tables = []
+        for b, c in sorted(((b, c) for b, c in commits.items() if "holds" in c), key=lambda x: (-len(x[1]["holds"]), x[0])):
+            if not held & {b, *c["holds"]}:
+                held |= {b, *c["holds"]}
+                tables.append(c["table"])
+        tables += [c["table"] for b, c in sorted(commits.items()) if "holds" not in c and b not in held]
+        return tables, {*commits, *(b for c in commits.values() for b in c.get("holds", ()))}
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Commit the changes of a batch; False, and nothing done, if the batch was committed before.
@@ -129,8 +140,10 @@ class Rollup:
         return rows.groupBy(*KEYS).agg(F.sum("docs").cast("long").alias("docs"), F.sum("tokens").cast("long").alias("tokens")).where("docs <> 0 or tokens <> 0")
 
     def compact(self) -> bool:
-        """Sum up all committed batches in one table, whose commit lists the ids that it holds."""
+        """Sum up all committed batches in one table, whose commit is named after the ids that it holds and lists them."""
         tables, ids = self._taken()
         if len(tables) < 2:
             return False
-        return self._commit(f"compact-{uuid.uuid4().hex}", self.totals(), {"holds": sorted(ids)})
+        rows = self.spark.read.schema(_TOTALS).parquet(*(f"{self.path}/{t}" for t in tables))
+        name = hashlib.sha256("\0".join(sorted(ids)).encode()).hexdigest()
+        return self._commit(f"compact-{name}", rows, {"holds": sorted(ids)})

@@ -13,14 +13,14 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradus.llm.common import keep, shared_dir
+from gradus.llm.common import Marks, drop_kept, filesystem, join_hot, keep, located, shared_dir, small
 
 VERSION = b"WARC/1.1"
 _LINE = re.compile(rb"WARC/1\.[01]\r?\n")
@@ -31,9 +31,35 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def same_digest(told: str, block: bytes) -> bool:
+    """Whether a labelled digest is that of the block: SHA-1 in base 32 or hexadecimal, in any case. Other
+    algorithms aren't checked."""
+    label, _, value = told.strip().partition(":")
+    if label.strip().lower() not in ("sha1", "sha-1"):
+        return True
+    value = value.strip()
+    return value.upper().rstrip("=") == digest32(block) or value.lower() == hashlib.sha1(block).hexdigest()
+
+
+class Headers(dict):
+    """Headers by name, in any case."""
+
+    def __init__(self, pairs: Iterable[tuple[str, str]] = ()):
+        super().__init__((k.lower(), v) for k, v in pairs)
+
+    def __getitem__(self, name: str) -> str:
+        return super().__getitem__(name.lower())
+
+    def get(self, name: str, default=None):
+        return super().get(name.lower(), default)
+
+    def __contains__(self, name: object) -> bool:
+        return super().__contains__(str(name).lower())
+
+
 @dataclass
 class Record:
-    headers: dict[str, str]
+    headers: Headers
     block: bytes
     start: int
     end: int
@@ -41,7 +67,7 @@ class Record:
     @property
     def payload(self) -> bytes:
         """The HTTP body of a response, else the block."""
-        if self.headers.get("Content-Type", "").startswith("application/http"):
+        if self.headers.get("Content-Type", "").lower().startswith("application/http"):
             return self.block.partition(b"\r\n\r\n")[2]
         return self.block
 
@@ -71,7 +97,7 @@ def member(record: bytes) -> bytes:
     return z.compress(record) + z.flush()
 
 
-def decode(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+def decode(data: bytes, at: int = 0) -> tuple[Headers, bytes, int]:
     """Headers, block and end of the record that begins at an offset; Damaged if it is none."""
     m = _LINE.match(data, at)
     if not m:
@@ -79,13 +105,14 @@ def decode(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     stop = data.find(b"\r\n\r\n", m.end() - 2)
     if stop < 0:
         raise Damaged("no end of headers")
-    headers = {}
+    pairs = []
     for line in data[m.end() : stop].split(b"\r\n"):
         k, colon, v = line.partition(b":")
         if line and not colon:
             raise Damaged("not a header")
         if line:
-            headers[k.strip().decode("utf-8", "replace")] = v.strip().decode("utf-8", "replace")
+            pairs.append((k.strip().decode("utf-8", "replace"), v.strip().decode("utf-8", "replace")))
+    headers = Headers(pairs)
     length = headers.get("Content-Length", "")
     if not length.isdigit():
         raise Damaged("no length")
@@ -95,7 +122,7 @@ def decode(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
         raise Damaged("the block does not end where its length says")
     block = data[begin:end]
     told = headers.get("WARC-Block-Digest")
-    if told and told.startswith("sha1:") and told[5:] != digest32(block):
+    if told and not same_digest(told, block):
         raise Damaged("block digest differs")
     return headers, block, end + 4
 
@@ -123,7 +150,7 @@ class Salvage:
             if at - self._base >= len(self._data):
                 break
             try:
-                found, end = self._member(at) if self._data.startswith(_MAGIC, at - self._base) else self._plain(at)
+                found, end, bad = self._member(at) if self._data.startswith(_MAGIC, at - self._base) else self._plain(at)
             except Damaged as e:
                 if lost is None:
                     lost, why = at, str(e)
@@ -132,8 +159,10 @@ class Salvage:
             if lost is not None:
                 self.gaps.append(Gap(lost, at, why))
                 lost = None
+            yield from found
+            if bad:
+                self.gaps.append(Gap(at, end, bad))
             at = end
-            yield found
         if lost is not None:
             self.gaps.append(Gap(lost, self._base + len(self._data), why))
 
@@ -150,7 +179,8 @@ class Salvage:
             self._data += more
         return len(self._data) >= size
 
-    def _member(self, at: int) -> tuple[Record, int]:
+    def _member(self, at: int) -> tuple[list[Record], int, str]:
+        """The records of a member, its end, and why the rest of it is lost, if it is."""
         z, out, pos = zlib.decompressobj(31), [], at - self._base
         size = 0
         try:
@@ -172,12 +202,21 @@ class Salvage:
             raise Damaged(f"bad member: {e}") from None
         pos -= len(z.unused_data)
         data = b"".join(out)
-        headers, block, end = decode(data)
-        if end != len(data):
-            raise Damaged("the member holds more than a record")
-        return Record(headers, block, at, self._base + pos), self._base + pos
+        found, inner, why = [], 0, ""
+        while inner < len(data):
+            try:
+                headers, block, inner = decode(data, inner)
+            except Damaged as e:
+                if not found:
+                    raise
+                why = f"in a member of several records: {e}"
+                break
+            found.append(Record(headers, block, at, self._base + pos))
+        if not found:
+            raise Damaged("the member is empty")
+        return found, self._base + pos, why
 
-    def _plain(self, at: int) -> tuple[Record, int]:
+    def _plain(self, at: int) -> tuple[list[Record], int, str]:
         pos = at - self._base
         m = _LINE.match(self._data, pos)
         if not m:
@@ -190,14 +229,14 @@ class Salvage:
             seen = max(seen, len(self._data) - 3)
             if not self._need(len(self._data) + 1):
                 raise Damaged("no end of headers")
-        length = re.compile(rb"\r\n[Cc]ontent-[Ll]ength:\s*(\d+)\s*\r\n").search(self._data, pos, stop + 2)
+        length = re.compile(rb"(?i)\r\ncontent-length[ \t]*:\s*(\d+)\s*\r\n").search(self._data, pos, stop + 2)
         if length:
             want = int(length[1])
             if want > self.limit:
                 raise Damaged("the record is too large")
             self._need(stop + 4 + want + 4)
         headers, block, end = decode(self._data, pos)
-        return Record(headers, block, at, self._base + end), self._base + end
+        return [Record(headers, block, at, self._base + end)], self._base + end, ""
 
     def _next(self, at: int) -> int:
         """The next offset where a member or a version line begins, or the file's end."""
@@ -215,27 +254,27 @@ class Salvage:
 
 def _open(path: str, mode: str):
     """Opens a file of any store that pyarrow knows; bare paths are local."""
-    from pyarrow import fs
-
-    store, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    store, inner = filesystem(path)
     if mode == "r":
         return store.open_input_stream(inner, compression=None)
     store.create_dir(inner.rpartition("/")[0], recursive=True)
     return store.open_output_stream(inner, compression=None)
 
 
-def write(records: DataFrame, folder: str, compress: bool = True, max_bytes: int = 256 << 20) -> DataFrame:
+def write(records: DataFrame, folder: str, compress: bool = True, max_bytes: int = 256 << 20, torn: bool = False) -> DataFrame:
     """Archives of records with record_id, url, record_type, refers_to and html, written by the tasks
-    that hold the rows; gives path, records and bytes of the files that count.
+    that hold the rows; gives path, records, gaps and bytes of the files that count.
 
     Each attempt of a task writes files of its own, and the list, kept as a table, names those of
     the attempts that succeeded. A response has the HTTP head and the payload; a revisit has the
-    head only, where Content-Length tells the payload's size.
+    head only, where Content-Length tells the payload's size. With torn, each archive begins with the front of
+    its first record, as it stands after a writer was killed and went on in the same file; gaps counts these.
     """
 
     def run(batches):
         out, path, n, size = None, "", 0, 0
-        for batch in batches:
+        told = lambda: pa.RecordBatch.from_pydict({"path": [path], "records": [n], "gaps": [int(torn)], "bytes": [size]})
+        for batch in small(batches):
             for rid, url, kind, refers, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 payload = (html or "").encode("utf-8", "surrogatepass")
                 block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -251,18 +290,21 @@ def write(records: DataFrame, folder: str, compress: bool = True, max_bytes: int
                 if out is None:
                     path = f"{folder}/{uuid.uuid4().hex}.warc" + ".gz" * compress
                     out = _open(path, "w")
+                    if torn:
+                        out.write(data[: len(data) * 2 // 3])
+                        size += len(data) * 2 // 3
                 out.write(data)
                 n, size = n + 1, size + len(data)
                 if size >= max_bytes:
                     out.close()
-                    yield pa.RecordBatch.from_pydict({"path": [path], "records": [n], "bytes": [size]})
+                    yield told()
                     out, n, size = None, 0, 0
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_pydict({"path": [path], "records": [n], "bytes": [size]})
+            yield told()
 
     columns = records.select(F.col("record_id").cast("long"), "url", "record_type", F.col("refers_to").cast("long"), "html")
-    return keep(columns.mapInArrow(run, "path string, records long, bytes long"), "archives")
+    return keep(columns.mapInArrow(run, "path string, records long, gaps long, bytes long"), "archives")
 
 
 _READ = "path string, start long, end long, record_type string, record_id string, url string, refers_to string, payload_bytes long, payload_digest string, payload binary, error string"
@@ -273,7 +315,7 @@ def read(paths: DataFrame, with_payload: bool = True, whole: bool = False) -> Da
 
     Archives are streamed; a task holds one record at a time. Payload digests are computed from
     what was read; those of revisits, which have no payload, are taken from their headers. With
-    whole, an archive that has gaps, or not as many records as its row in paths says, fails.
+    whole, an archive that hasn't as many gaps and records as its row in paths says fails.
     """
 
     def told(h: dict[str, str], name: str) -> str | None:
@@ -288,7 +330,7 @@ def read(paths: DataFrame, with_payload: bool = True, whole: bool = False) -> Da
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
-            for path, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, want, torn in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows, size, count = [], 0, 0
                 with _open(path, "r") as f:
                     archive = Salvage(f)
@@ -305,34 +347,56 @@ def read(paths: DataFrame, with_payload: bool = True, whole: bool = False) -> Da
                         if size > 8 << 20 or len(rows) >= 4096:
                             yield pack(rows)
                             rows, size = [], 0
-                    if whole and (archive.gaps or count != want):
+                    if whole and (len(archive.gaps) != torn or count != want):
                         raise ValueError(f"{path}: {count} of {want} records read, gaps: {[(g.start, g.end, g.why) for g in archive.gaps[:3]]}")
                     rows += [(path, g.start, g.end, *[None] * 7, g.why) for g in archive.gaps]
                 if rows:
                     yield pack(rows)
 
-    return paths.select("path", F.col("records") if whole else F.lit(None).cast("long").alias("records")).mapInArrow(run, _READ)
+    torn = F.col("gaps") if "gaps" in paths.columns else F.lit(0)
+    return paths.select("path", (F.col("records") if whole else F.lit(None)).cast("long"), torn.cast("long")).mapInArrow(run, _READ)
 
 
 def revisits(pages: DataFrame) -> DataFrame:
     """pages with record_id, record_type and refers_to: of the rows with equal payloads, that with
-    the largest page_id is the response; the others, if they have an id, revisit it."""
-    p = pages.select(F.col("page_id").cast("long").alias("record_id"), "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("sha"))
-    last = keep(p.groupBy("sha").agg(F.max("record_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n"), "last")
-    both = p.join(last, "sha", "left")
-    again = F.col("record_id").isNotNull() & (F.col("record_id") < F.col("last"))
-    return both.select("record_id", "url", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("last")).alias("refers_to"), "html")
+    the largest page_id is the response; the others, if they have an id, revisit it.
+
+    Only digests and ids are shuffled; which row revisits which is looked up where the html is read.
+    """
+    names = [f"c{pages.columns.index(c)}" for c in ("page_id", "url", "html")]
+    source = located(pages)
+    source = source.select("file", "at", F.col(names[0]).cast("long").alias("record_id"), F.col(names[1]).alias("url"), F.col(names[2]).alias("html"))
+    slim = keep(source.select("file", "at", "record_id", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("sha")), "digests")
+    last = slim.groupBy("sha").agg(F.max("record_id").alias("last"), F.count("*").alias("n")).where("n > 1")
+    again = join_hot(slim.where("record_id is not null"), last, "sha", "n", slim.count()).where("record_id < last")
+    marks = Marks(again.select("file", "at", F.col("last").alias("value")), "revisits")
+    drop_kept(slim)
+    reader = marks.reader()
+
+    def run(batches):
+        pick = reader()
+        for batch in small(batches):
+            where, last = pick(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            refers = [None] * batch.num_rows
+            for i, x in zip(where.tolist(), last.tolist(), strict=True):
+                refers[i] = x
+            kind = pa.array(["response" if x is None else "revisit" for x in refers], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), kind, pa.array(refers, pa.int64()), batch.column(4)], names=["record_id", "url", "record_type", "refers_to", "html"])
+
+    return source.mapInArrow(run, "record_id long, url string, record_type string, refers_to long, html string")
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
+def round_trip(pages: DataFrame, torn: bool = False) -> DataFrame:
     """Archives pages and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Null html: an empty payload. Null page_id: always a response. Repeated rows of the largest
     page_id of a payload: each is a response. An empty table gives an empty result. Extra columns
-    are not archived. It fails if not all records that were written are read.
+    are not archived. Very long pages are one record each, up to 4 GB. It fails if not all records that were
+    written are read, or if gaps are found where nothing is torn. With torn, archives begin with a
+    torn record, which the reader has to get over.
     """
     spark = pages.sparkSession
-    archives = write(revisits(pages), f"{shared_dir(spark)}/warc/{uuid.uuid4().hex}")
+    archives = write(revisits(pages), f"{shared_dir(spark)}/warc/{uuid.uuid4().hex}", torn=torn)
     n = max(1, min(archives.count(), 10_000))
-    back = read(archives.repartition(n), with_payload=False, whole=True)
+    back = read(archives.repartition(n), with_payload=False, whole=True).where("error is null")
     return back.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))

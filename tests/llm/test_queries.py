@@ -396,6 +396,33 @@ def test_token_rollup(spark, tmp_path):
     assert {(r.source, r.docs, r.tokens) for r in token_counts.Rollup(spark, str(tmp_path)).totals().collect()} == want | {("b", 1, 3)}
 
 
+def test_compactions_at_once_count_once(spark, tmp_path):
+    rollup = token_counts.Rollup(spark, f"file://{tmp_path}/r")
+    one = spark.createDataFrame([("a", "en", "v", 1, 5)], "source string, lang string, tokenizer_version string, docs long, tokens long")
+    total = lambda: [(r.docs, r.tokens) for r in rollup.totals().collect()]
+    rollup.apply("1", one)
+    rollup.apply("2", one)
+    seen = rollup._taken()
+    rollup.compact()
+    rollup.apply("3", one)
+    rollup._commit("compact-late", one.withColumn("docs", one.docs * 2).withColumn("tokens", one.tokens * 2), {"holds": sorted(seen[1])})
+    assert total() == [(3, 15)]
+    rollup.compact()
+    rollup._commit("compact-odd", one.withColumn("docs", one.docs * 2).withColumn("tokens", one.tokens * 2), {"holds": ["2", "3"]})
+    assert total() == [(3, 15)] and not rollup.apply("3", one)
+    rollup.apply("4", one)
+    assert total() == [(4, 20)]
+
+
+def test_repeated_notices_take_linear_time():
+    import time
+
+    t = licenses.Templates({"x": "released under the terms of the so called example license version nine by nobody at all"}, compulsory={})
+    began = time.time()
+    found = t.scan("released under the terms of the so called example license version nine by nobody at all\n" * 8000, 0.8)
+    assert len(found) == 8000 and time.time() - began < 20
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(9)
     centers = rng.normal(size=(8, 16))
@@ -438,7 +465,23 @@ def test_copies_whose_projections_differ_in_the_last_bits():
     assert len(tree.starts) > 2
     for q_low in (base, np.nextafter(base, 9), np.nextafter(base, -9)):
         for bound in (0.0, np.inf):
-            assert ann.nearest(tree, np.arange(n), points, 0, v, q_low, 10, 1.0, bound) == [(i, 0.0) for i in range(1, 11)]
+            assert ann.nearest(tree, np.arange(n), points, low, 0, v, q_low, 10, 1.0, bound) == [(i, 0.0) for i in range(1, 11)]
+
+
+def test_the_test_stops_and_recall_on_embeddings(spark):
+    from pyspark.sql import functions as F
+
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in table.collect()]
+    ids, v = np.array([i for i, _ in rows]), np.array([e for _, e in rows], dtype=float)
+    low = v @ ann.projections(64, 24)
+    tree, stop, seen, hits, asked = ann.Tree(low), ann.chi2_quantile(0.93, 24), [], 0, range(0, len(ids), 10)
+    for q in asked:
+        d = np.sqrt(((v - v[q]) ** 2).sum(axis=1))
+        best = [int(ids[i]) for i in np.lexsort((ids, d)) if i != q][:10]
+        hits += len({i for i, _ in ann.nearest(tree, ids, v, low, ids[q], v[q], low[q], 10, stop, np.inf, seen)} & {*best})
+    assert hits >= 0.9 * 10 * len(asked) and sum(seen) < 0.85 * len(ids) * len(asked)
+    assert ann.search(table, F.col("vec_id") % 100 == 0).count() == 10 * sum(i % 100 == 0 for i in ids)
 
 
 def test_chi_square():
@@ -471,6 +514,21 @@ def test_salvage(pack, chunk):
     assert sum(g.end - g.start for g in reader.gaps) == len(data) - sum(len(whole[i]) for i in got)
 
 
+@pytest.mark.parametrize("pack", [warc.member, bytes])
+def test_spellings_that_are_valid(pack):
+    import hashlib
+
+    b = [f"block {i}".encode() for i in range(5)]
+    told = [f"sha1:{warc.digest32(b[0])}", f"SHA1:{hashlib.sha1(b[1]).hexdigest().upper()}", f"sha1:{warc.digest32(b[2]).lower()}", "md5:whatever", f"sha1:{warc.digest32(b'other')}"]
+    rows = [warc.encode({"WARC-Record-ID": str(i), "WARC-Block-Digest": d}, x).replace(b"Content-Length", b"content-length").replace(b"WARC-Record-ID", b"warc-record-id") for i, (x, d) in enumerate(zip(b, told))]
+    reader = warc.Salvage(io.BytesIO(b"".join(map(pack, rows))))
+    assert [r.headers["WARC-RECORD-ID"] for r in reader] == ["0", "1", "2", "3"] and len(reader.gaps) == 1
+    several = pack(rows[0] + rows[1]) + pack(rows[2] + rows[4] + rows[3]) + pack(rows[3])
+    reader = warc.Salvage(io.BytesIO(several))
+    got = [r.headers["warc-record-id"] for r in reader]
+    assert got == (["0", "1", "2", "3"] if pack is warc.member else ["0", "1", "2", "3", "3"]) and len(reader.gaps) == 1
+
+
 @pytest.mark.parametrize("pack", [warc.member, bytes])
 @pytest.mark.parametrize("chunk", [64, 1 << 20])
 def test_headers_of_any_length(pack, chunk):
