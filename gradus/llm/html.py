@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -24,11 +26,11 @@ from pyspark.sql import functions as F
 
 from gradus.llm.common import keep
 
-_TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)|<(script|style|noscript|template|textarea|iframe|svg|math|object|canvas|select|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*)"
-    r"|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*>|<[!?][^>]*>|[^<]+|<",
-    re.S | re.I,
-)
+#: The inside of a tag up to its end, with quoted values; and without regard to quotes.
+_QUOTED = re.compile(r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>""")
+#: Elements whose content isn't markup, and elements without text of the page's own.
+_RAW = frozenset("script style textarea iframe xmp".split())
+_SKIPPED = frozenset("noscript template svg math object canvas select button".split())
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
 _PARTS = re.compile(r"[a-z0-9]+")
@@ -43,17 +45,76 @@ _ASIDE_NAMES = frozenset(
     "cookie cookies consent gdpr notice notices newsletter subscribe subscription popup modal overlay social share sharing related recommended comment comments reply replies disqus "
     "widget toolbar pagination pager login signup search skip".split()
 )
+_LAYOUT = frozenset(
+    "area bar block body bottom box button buttons center column container content cta details feed fixed float footer form global group head header icon icons inner item items layout left line link links list main "
+    "message module nav page panel policy post posts primary right row section secondary site slot sticky tags text thread title top unit wrap wrapper".split()
+)
 _ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 
+def _named_aside(attrs: dict[str, str], names: frozenset[str] = _ASIDE_NAMES) -> bool:
+    """Whether a class or the id says aside: one that has such a word and besides only words of layout. So
+    `cookie-banner` does, but `no-sidebar` and `social-history` don't."""
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
+        parts = _PARTS.findall(name)
+        if any(p in names for p in parts) and all(p in names or p in _LAYOUT or len(p) < 3 and p != "no" or p[:1].isdigit() for p in parts):
+            return True
+    return False
+
+
 def _aside(tag: str, attrs: dict[str, str], inside_main: bool) -> bool:
     if tag in _ASIDE_TAGS or tag == "header" and not inside_main:
         return True
     if attrs.get("role", "").lower() in _ASIDE_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
     if tag in ("html", "body", "article", "main"):
-        return tag == "article" and bool({"comment", "comments", "ad", "ads", "advert"} & {*_PARTS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())})
-    return bool(_ASIDE_NAMES & {*_PARTS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())})
+        return tag == "article" and _named_aside(attrs, frozenset(("comment", "comments", "ad", "ads", "advert")))
+    return _named_aside(attrs)
+
+
+def _pieces(page: str) -> Iterator[tuple[str, str]]:
+    """Kind and content of texts ("text"), tags ("tag", with both brackets) in page order; comments, declarations and
+    the content of raw elements are left out. Linear: a quote that is never closed ends the regard for quotes."""
+    at, n, quotes = 0, len(page), True
+    while at < n:
+        start = page.find("<", at)
+        if start < 0:
+            yield "text", page[at:]
+            return
+        if start > at:
+            yield "text", page[at:start]
+        follows = page[start + 1 : start + 3]
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = n if end < 0 else end + 3
+        elif follows[:1] in ("!", "?"):
+            end = page.find(">", start)
+            at = n if end < 0 else end + 1
+        elif follows[:1].isascii() and follows[:1].isalpha() or follows[:1] == "/" and follows[1:].isascii() and follows[1:].isalpha():
+            m = _QUOTED.match(page, start + 1) if quotes else None
+            if m is None:
+                quotes = False
+                end = page.find(">", start)
+                if end < 0:  # no tag ends any more
+                    yield "text", page[start:]
+                    return
+                at = end + 1
+            else:
+                at = m.end()
+            tag = page[start:at]
+            yield "tag", tag
+            name = _TAG.match(tag)[2].lower()
+            if name in _RAW and not tag.startswith("</"):
+                m = _ends(name).search(page, at)
+                at = m.start() if m else n
+        else:
+            yield "text", "<"
+            at = start + 1
+
+
+@cache
+def _ends(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])", re.I)
 
 
 def parse(page: str | None) -> list[tuple[str, str | None, bool, bool]]:
@@ -61,7 +122,7 @@ def parse(page: str | None) -> list[tuple[str, str | None, bool, bool]]:
     blocks, in page order. Character references are decoded; white space inside a block
     becomes one space. What is never closed ends with what it lies in."""
     tokens, stack, buffer = [], [], []
-    asides = mains = 0
+    asides = mains = skipped = 0
 
     def flush() -> None:
         if buffer:
@@ -71,21 +132,20 @@ def parse(page: str | None) -> list[tuple[str, str | None, bool, bool]]:
                 tokens.append(("/".join(s[0] for s in stack if s[0] in _BLOCK), text, asides > 0, mains > 0))
 
     def pop_to(at: int) -> None:
-        nonlocal asides, mains
+        nonlocal asides, mains, skipped
         while len(stack) > at:
             tag, aside, main = stack[-1]
             if tag in _BLOCK:
                 flush()
             stack.pop()
+            skipped -= tag in _SKIPPED
             asides -= aside
             mains -= main
 
-    for m in _TOKEN.finditer(page or ""):
-        token = m[0]
-        if token[0] != "<" or token == "<":
-            buffer.append(entities.unescape(token))
-            continue
-        if m[1] or token[1] in "!?":
+    for kind, token in _pieces(page or ""):
+        if kind == "text":
+            if not skipped:
+                buffer.append(entities.unescape(token))
             continue
         t = _TAG.match(token)
         tag = t[2].lower()
@@ -111,9 +171,10 @@ def parse(page: str | None) -> list[tuple[str, str | None, bool, bool]]:
                     break
         attrs = {a[1].lower(): (a[2] or "").strip("\"'") for a in _ATTR.finditer(token, t.end())} if t.end() < len(token) - 1 else {}
         tokens.append(("/".join([*(s[0] for s in stack), tag]), None, asides > 0, mains > 0))
-        if tag in _VOID or token.endswith("/>") and tag not in _BLOCK:
+        if tag in _VOID or tag in _RAW or token.endswith("/>") and tag not in _BLOCK:
             continue
         aside, main = _aside(tag, attrs, mains > 0), tag in ("article", "main") or attrs.get("role") == "main"
+        skipped += tag in _SKIPPED
         stack.append((tag, int(aside), int(main)))
         asides += aside
         mains += main

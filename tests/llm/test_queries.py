@@ -592,6 +592,22 @@ def test_main_text():
     assert html.main_text("<p>x<!-- never closed <p>y", set(), set()) == "x"
 
 
+def test_tags_that_swallow_nothing():
+    import time
+
+    text = lambda page: html.main_text(page, set(), set())
+    assert text('<article><p>a</p><svg class="i"/><p>b</p><p>c</p></article>') == "a\n\nb\n\nc"
+    assert text("<article><button-group>k</button-group><p>b</p><button>x</button><p>c</p></article>") == "k\n\nb\n\nc"
+    assert text("<article><div><button>x</div><p>b</p></article>") == "b"
+    assert text('<div class="post no-sidebar"><p>the whole article</p></div>') == "the whole article"
+    assert text('<article><section class="social-history"><p>h</p></section><div class="social-links">s</div><script>if(a<b)x</script>z</article>') == "h\n\nz"
+    assert text("<p>1 < 2 <!-- no > yet --> &amp; <a title='>'>so</a></p><!-- open") == "1 < 2 & so"
+    for page in ("<a " * 350_000, '<a "' * 250_000 + ">", "<!" * 500_000, "<script>" * 100_000, "<" * 1_000_000):
+        began = time.time()
+        html.parse(page)
+        assert time.time() - began < 20
+
+
 def test_template_text_goes(spark):
     rng = random.Random(3)
     rows = [(i, f"https://H.example/{i}", f"<body><div><p>Welcome to our site</p></div><div><p>{prose(rng, 30)}</p></div><div>{'<p>Now with a newsletter</p>' if i % 3 else ''}</div><div><p>All rights reserved</p></div></body>") for i in range(24)]
