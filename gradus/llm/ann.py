@@ -79,11 +79,11 @@ def _slack(v: np.ndarray) -> float:
     return float(1e-20 * (v @ v))
 
 
-def nearest(tree: Tree, ids: np.ndarray, points: np.ndarray, low: np.ndarray, q_id: int, q: np.ndarray, q_low: np.ndarray, k: int, stop: float, bound: float, seen: list[int] | None = None, chunk: int = 64) -> list[tuple[int, float]]:
+def nearest(tree: Tree, ids: np.ndarray, points: np.ndarray, low: np.ndarray, q_id: int, q: np.ndarray, q_low: np.ndarray, k: int, stop: float, bound: float, seen: list[int] | None = None, chunk: int = 64, most_chunk: int = 1024) -> list[tuple[int, float]]:
     """The k nearest of the tree's points, in pairs (id, distance).
 
     Points come in order of projected distance: leaves are opened in growing runs, and a point is due
-    once no unopened leaf's box is nearer. True distances are computed a chunk of points at a time. stop is the
+    once no unopened leaf's box is nearer. True distances are computed a chunk of points at a time, in growing chunks. stop is the
     chi-square quantile: the search ends when the square of the next projected distance exceeds stop times the
     square of the k-th true distance found, here or before (bound). At k-th distance 0 nothing is left to find but
     larger ids. Projections of copies may differ in their last bits, so points as near as that are always taken.
@@ -105,8 +105,10 @@ def nearest(tree: Tree, ids: np.ndarray, points: np.ndarray, low: np.ndarray, q_
             rows = np.concatenate([tree.order[tree.starts[leaf] : tree.starts[leaf + 1]] for leaf in order[at : at + run]])
             rows = rows[ids[rows] != q_id]
             d = ((low[rows] - q_low) ** 2).sum(axis=1)
-            due_d, due = np.concatenate([due_d, np.where(d <= slack, 0.0, d)]), np.concatenate([due, rows])
-            by = np.lexsort((due, due_d))
+            d = np.where(d <= slack, 0.0, d)
+            near = d <= stop * min(best_d[k - 1] if len(best_d) >= k else np.inf, bound) ** 2  # the rest can't be due any more
+            due_d, due = np.concatenate([due_d, d[near]]), np.concatenate([due, rows[near]])
+            by = np.argsort(due_d, kind="stable")
             due_d, due = due_d[by], due[by]
             at, run = at + run, min(2 * run, 32)
         else:
@@ -120,6 +122,7 @@ def nearest(tree: Tree, ids: np.ndarray, points: np.ndarray, low: np.ndarray, q_
             rows = due[taken : min(ready, taken + chunk)]
             taken += len(rows)
             visited += len(rows)
+            chunk = min(2 * chunk, most_chunk)
             d = np.sqrt(((points[rows] - q) ** 2).sum(axis=1))
             best_d, best_i = np.concatenate([best_d, d]), np.concatenate([best_i, ids[rows]])
             top = np.lexsort((best_i, best_d))
