@@ -92,27 +92,29 @@ def near_overlap(train: DataFrame, evals: DataFrame, threshold: float = 0.92) ->
     return near.select("id_a", "id_b", F.lit("near_duplicate").alias("kind"), _ratio("na", "nb", F.lit(threshold)).alias("score")).where(F.col("score") >= threshold)
 
 
-def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, most_broadcast: int = 500_000) -> DataFrame:
     """Pairs (id, item_id) of documents that hold an item's normalized text.
 
-    An item's first words are a key: documents are cut into all runs of that many words, once for
-    each length of key, and joined on them; containment is checked on what is left.
+    The hash of an item's first words is a key: documents are cut into all runs of that many words, once for
+    each length of key, and runs that are no key go before anything is shuffled. That takes a broadcast of the keys,
+    8 bytes each, if there are at most most_broadcast items, which is counted; beyond that a shuffle join.
+    Containment is checked on what is left, so keys that collide do no harm.
     """
     words = 4
-    it = items.select("item_id", normalize_prose(F.col("text")).alias("item")).where("item <> ''")
-    it = it.withColumn("w", F.split("item", " ")).withColumn("k", F.least(F.size("w"), F.lit(words)))
-    lengths = sorted(r.k for r in it.select("k").distinct().collect())  # at most `words` numbers
-    it = it.withColumn("key", F.array_join(F.slice("w", 1, words), " ")).select("item_id", "item", "key")
-    w = F.split("norm", " ")
-    d = docs.select("id", normalize_prose(F.col("text")).alias("norm")).where("norm <> ''").withColumn("w", w)
+    w = F.split("item", " ")
+    it = items.select("item_id", normalize_prose(F.col("text")).alias("item")).where("item <> ''").select("item_id", "item", F.least(F.size(w), F.lit(words)).alias("k"), F.xxhash64(F.slice(w, 1, words)).alias("key"))
+    sizes = {r["k"]: r["count"] for r in it.groupBy("k").count().collect()}  # at most `words` rows
+    keys, small = it.select("key").distinct(), sum(sizes.values()) <= most_broadcast
+    d = docs.select("id", normalize_prose(F.col("text")).alias("norm")).where("norm <> ''")
+    split = d.select("id", F.split("norm", " ").alias("w"))
 
     def runs_of(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda i: F.xxhash64(F.slice("w", i, n)))
 
-    runs = F.concat(*(runs_of(n) for n in lengths or [1]))
-    keyed = d.select("id", F.explode(F.array_distinct(runs)).alias("key"))
+    runs = F.concat(*(runs_of(n) for n in sorted(sizes) or [1]))
+    keyed = split.select("id", F.explode(F.array_distinct(runs)).alias("key")).join(F.broadcast(keys) if small else keys, "key", "left_semi")
     hits = keyed.join(it, "key").select("id", "item_id", "item").distinct()
-    return hits.join(d.select("id", "norm"), "id").where(F.contains(F.concat(F.lit(" "), F.col("norm"), F.lit(" ")), F.concat(F.lit(" "), F.col("item"), F.lit(" ")))).select("id", "item_id")
+    return hits.join(d, "id").where(F.contains(F.concat(F.lit(" "), F.col("norm"), F.lit(" ")), F.concat(F.lit(" "), F.col("item"), F.lit(" ")))).select("id", "item_id")
 
 
 def quality_report(tasks: DataFrame, threshold: float = 0.92, train_splits: tuple[str, ...] = ("train",)) -> dict[str, DataFrame]:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradus.functions.stats import binomial_two_sided, hash_unit, low_quantile, rate, sign_flip_p
+from gradus.sources.records import flat_rollouts, read_rollouts
+
+
+#: Draws of one row of the bootstrap.
+_CHUNK = 10_000
 
 
 def one_per_task(rollouts: DataFrame, sample_index: int = 0, ties: tuple[str, ...] = ("reward", "passed")) -> DataFrame:
@@ -61,12 +66,14 @@ def bootstrap(pairs: DataFrame, samples: int = 2000, seed: int = 20260601, confi
     """Interval of the difference in pass rates over tasks drawn with replacement.
 
     A draw picks one of n ranks by hash; only the four kinds of outcome matter, so ranks are laid
-    out kind by kind and no draw needs a join: its rank says whether its delta is +1, -1 or 0.
+    out kind by kind and no draw needs a join: its rank says whether its delta is +1, -1 or 0. Draws are
+    made in chunks and summed up before they are shuffled, so no row grows with the tasks.
     """
     c = cells(pairs).select(F.col("candidate_only").alias("up"), F.col("base_only").alias("down"), (F.col("both") + F.col("base_only") + F.col("candidate_only") + F.col("neither")).alias("n"))
     spark = pairs.sparkSession
     reps = spark.range(samples).withColumnRenamed("id", "rep").crossJoin(F.broadcast(c)).where("n > 0")
-    draws = reps.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    parts = reps.withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(_CHUNK).cast("long"))))
+    draws = parts.withColumn("i", F.explode(F.sequence("low", F.least(F.col("low") + _CHUNK, F.col("n")) - 1)))
     at = F.pmod(hash_unit(F.lit(seed), F.col("rep"), F.col("i")), F.col("n"))
     delta = F.when(at < F.col("up"), 1).when(at < F.col("up") + F.col("down"), -1).otherwise(0)
     means = draws.groupBy("rep").agg((F.sum(delta) / F.count("*")).alias("m"))
@@ -99,5 +106,15 @@ def compare(base: DataFrame, candidate: DataFrame, sample_index: int = 0, **kwar
     return {"outcomes": pairs, "mcnemar": mcnemar(pairs), "permutation": permutation(pairs, **{k: v for k, v in kwargs.items() if k == "seed"}), "bootstrap": bootstrap(pairs, **{k: v for k, v in kwargs.items() if k in ("seed", "confidence")}), "effects": effects(pairs)}
 
 
+def compare_files(spark: SparkSession, base: str, candidate: str, **kwargs) -> dict[str, DataFrame]:
+    """compare, over two JSONL files of rollouts."""
+    return compare(*(flat_rollouts(read_rollouts(spark, p)) for p in (base, candidate)), **kwargs)
+
+
+def changed(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ids of the tasks that only the candidate passes, and of those that only the base does."""
+    return tuple(pairs.where((F.col("candidate_passed") == up) & (F.col("base_passed") != up)).select("task_id") for up in (True, False))
+
+
 def curve_rate(pairs: DataFrame) -> DataFrame:
     return pairs.agg(rate(F.count_if("candidate_passed"), F.count("*")).alias("rate"))

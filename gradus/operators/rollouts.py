@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gradus.functions import text
 from gradus.functions.code import extract_code, simple_repair
-from gradus.operators import evaluate, sequences
+from gradus.operators import evaluate, selection, sequences
 
 Batches = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
@@ -120,6 +120,23 @@ def packed(prompt: Column, response: Column, most_prompt: int | None = None, mos
     return F.struct(F.concat(p, r).alias("input_ids"), sequences.response_mask(F.size(p), F.size(r), F.lit(0)).alias("masks"), F.size(r).alias("response_tokens"))
 
 
+def sample_metadata(rollouts: DataFrame, source: str = "parsed_code", most_prompt: int | None = None, most_response: int | None = None) -> Column:
+    """What a training sample keeps of its rollout, as a map of texts: backend, model, template, parse, token counts,
+    whether prompt and response were cut, and scalar entries of generation_metadata and metadata (JSON) under prefixes.
+    Columns that rollouts lacks, and nulls, have no entry."""
+    response = F.col("raw_completion") if source == "raw_completion" else F.col("parsed.code")
+    cut = {n: sequences.encoded(F.coalesce(x, F.lit("")), most, side) for n, x, most, side in (("prompt", F.col("prompt"), most_prompt, "left"), ("response", response, most_response, "right"))}
+    told = {c: F.col(c) for c in ("backend", "model_name", "prompt_template") if c in rollouts.columns}
+    told |= {"parse_status": F.col("parsed.status"), "parser": F.col("parsed.parser"), "response_source": F.lit(source)}
+    told |= {f"{n}_tokens": F.size(x["token_ids"]) for n, x in cut.items()} | {f"{n}_truncated": x["truncated"] for n, x in cut.items()}
+    told |= {"execution_passed": F.col("execution.passed")} if "execution" in rollouts.columns else {}
+    own = F.map_filter(F.create_map(*(y for n, x in told.items() for y in (F.lit(n), x.cast("string")))), lambda _, v: v.isNotNull())
+    for column, prefix in (("generation_metadata", "generation_"), ("metadata", "rollout_")):
+        if column in rollouts.columns:
+            own = selection.merged(own, selection.scalar_metadata(F.col(column), prefix))
+    return own
+
+
 def training_batch(rollouts: DataFrame, source: str = "parsed_code", failed_parses: bool = False, least_std: float = 1e-8, **limits) -> tuple[DataFrame, DataFrame]:
     """(samples with ids, masks and group advantages, skipped rollouts with reasons)."""
     response = F.col("raw_completion") if source == "raw_completion" else F.col("parsed.code")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradus.functions.text import tokens
+
 
 def response_mask(prompt: Column, response: Column, pad: Column) -> Column:
     zeros, ones = (lambda n: F.array_repeat(F.lit(0), n)), F.array_repeat(F.lit(1), response)
@@ -53,6 +55,17 @@ def token_ids(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.conv(F.substring(F.sha2(t.cast("binary"), 256), 1, 16), 16, 10).cast("decimal(20,0)") + 1)
 
 
+def encoded(text: Column, most: int | None = None, side: str = "right") -> Column:
+    """Ids of a text's words, cut to at most so many, whether any were cut, and on which side (null without a limit)."""
+    if most is not None and most < 0:
+        raise ValueError("a limit can't be negative")
+    if side not in ("left", "right"):
+        raise ValueError(f"unknown side {side!r}")
+    ids = token_ids(tokens(text))
+    cut = ids if most is None else truncate(ids, most, side)
+    return F.struct(cut.alias("token_ids"), (F.size(cut) != F.size(ids)).alias("truncated"), F.lit(None if most is None else side).cast("string").alias("truncation_side"))
+
+
 def pad(a: Column, length: Column | int, value: float = 0.0) -> Column:
     length = F.lit(length) if isinstance(length, int) else length
     return F.concat(a, F.array_repeat(F.lit(value), F.greatest(F.lit(0), length - F.size(a))))
@@ -169,6 +182,20 @@ def microbatches(frame: DataFrame, size: int, order: tuple[str, ...]) -> DataFra
     return frame.withColumn("microbatch", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("int"))
 
 
+def first_batches(batches: DataFrame, most: int | None = None) -> DataFrame:
+    """Rows of the first so many microbatches."""
+    if most is not None and most < 1:
+        raise ValueError("the number of batches must be positive")
+    return batches if most is None else batches.where(F.col("microbatch") < most)
+
+
+def with_estimates(samples: DataFrame, estimates: DataFrame, keys: tuple[str, ...] = ("task_id", "sample_index")) -> DataFrame:
+    """samples with the columns of their value estimates; a sample without one fails the query and is named."""
+    found = samples.join(estimates.withColumn("__found", F.lit(True)), list(keys), "left")
+    missing = F.raise_error(F.concat(F.lit("no value estimate for "), F.concat_ws(":", *keys)))
+    return found.where(F.when(F.col("__found"), F.lit(True)).otherwise(missing.isNotNull())).drop("__found")
+
+
 def group_samples(samples: DataFrame) -> DataFrame:
     """Samples of a task as one sorted array."""
     rest = [c for c in samples.columns if c != "task_id"]

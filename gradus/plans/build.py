@@ -18,7 +18,7 @@ class ContaminatedError(ValueError):
         self.findings = findings
 
 
-def build(sources: list[DataFrame], hold_out: bool = False, visible: int = 1, fractions: dict[str, float] | None = None, seed: int = 20260601, threshold: float = 0.92, gate: bool = True) -> dict:
+def build(sources: list[DataFrame], hold_out: bool = False, visible: int = 1, fractions: dict[str, float] | None = None, seed: int = 20260601, threshold: float = 0.92, gate: bool = True, name: str | None = None, version: str | None = None) -> dict:
     """tasks in order of ids, findings, and the manifest. With gate, findings raise."""
     tasks = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
     if hold_out:
@@ -32,5 +32,5 @@ def build(sources: list[DataFrame], hold_out: bool = False, visible: int = 1, fr
         raise ContaminatedError(counts)
     by_split = {r["split"]: r["count"] for r in tasks.groupBy("split").count().orderBy("split").collect()}
     without = tasks.where(F.size("hidden_tests") == 0).count()
-    manifest = {"tasks": sum(by_split.values()), "split_counts": by_split, "findings": counts, "passed": not any(counts.values()), "without_hidden_tests": without, "seed": seed}
+    manifest = {"tasks": sum(by_split.values()), "split_counts": by_split, "findings": counts, "passed": not any(counts.values()), "without_hidden_tests": without, "seed": seed, "name": name, "version": version}
     return {"tasks": tasks.orderBy("task_id"), "findings": report, "manifest": manifest}

@@ -152,17 +152,17 @@ HASH = "('0x' || substr(md5({x}), 1, 8))::BIGINT"
 
 
 @query(
-    f"WITH c AS ({CELLS}), d AS (SELECT doc_id, CASE WHEN toxic = 0 THEN 1 ELSE -1 END AS d FROM labels WHERE (quality = 1) <> (toxic = 0)), g AS (SELECT word, d, {HASH.format(x='concat(20260601, chr(58), word, chr(58), doc_id)')} AS h FROM d, range(0, 32) w(word)), s AS (SELECT word, i, sum(CASE WHEN (h >> i) & 1 = 1 THEN d ELSE -d END) AS t FROM g, range(0, 32) b(i) GROUP BY word, i), e AS (SELECT count(*) AS extreme FROM s, c WHERE word * 32 + i < 1000 AND abs(t) >= abs(candidate_only - base_only)) SELECT candidate_only + base_only AS n, candidate_only - base_only AS observed, candidate_only + base_only <= 20 AS is_exact, round((extreme + 1) / 1001, 6) AS p_value FROM c, e"
+    f"WITH c AS ({CELLS}), d AS (SELECT doc_id, CASE WHEN toxic = 0 THEN 1 ELSE -1 END AS d FROM labels WHERE (quality = 1) <> (toxic = 0)), g AS (SELECT word, d, {HASH.format(x='concat(20260601, chr(58), word, chr(58), doc_id)')} AS h FROM d, range(0, 313) w(word)), s AS (SELECT word, i, sum(CASE WHEN (h >> i) & 1 = 1 THEN d ELSE -d END) AS t FROM g, range(0, 32) b(i) GROUP BY word, i), e AS (SELECT count(*) AS extreme FROM s, c WHERE word * 32 + i < 10000 AND abs(t) >= abs(candidate_only - base_only)) SELECT candidate_only + base_only AS n, candidate_only - base_only AS observed, candidate_only + base_only <= 20 AS is_exact, round((extreme + 1) / 10001, 6) AS p_value FROM c, e"
 )
 def permutation_sampled(spark, d):
-    return rounded(paired.permutation(systems(spark, d), samples=1000))
+    return rounded(paired.permutation(systems(spark, d)))
 
 
 @query(
-    f"WITH c AS ({CELLS}), n AS (SELECT *, \"both\" + base_only + candidate_only + neither AS n FROM c), g AS (SELECT rep, {HASH.format(x='concat(20260601, chr(58), rep, chr(58), i)')} % n AS pos, candidate_only AS up, base_only AS down FROM n, range(0, 200) r(rep), range(0, n.n) t(i)), m AS (SELECT rep, sum(CASE WHEN pos < up THEN 1 WHEN pos < up + down THEN -1 ELSE 0 END) / count(*) AS m FROM g GROUP BY rep), l AS (SELECT avg(m) AS mean, list_sort(list(m)) AS v FROM m) SELECT round(mean, 6) AS mean, round(v[CAST(floor(0.025 * (len(v) - 1) + 1e-12) AS BIGINT) + 1], 6) AS low, round(v[CAST(floor(0.975 * (len(v) - 1) + 1e-12) AS BIGINT) + 1], 6) AS high FROM l"
+    f"WITH c AS ({CELLS}), n AS (SELECT *, \"both\" + base_only + candidate_only + neither AS n FROM c), g AS (SELECT rep, {HASH.format(x='concat(20260601, chr(58), rep, chr(58), i)')} % n AS pos, candidate_only AS up, base_only AS down FROM n, range(0, 2000) r(rep), range(0, n.n) t(i)), m AS (SELECT rep, sum(CASE WHEN pos < up THEN 1 WHEN pos < up + down THEN -1 ELSE 0 END) / count(*) AS m FROM g GROUP BY rep), l AS (SELECT avg(m) AS mean, list_sort(list(m)) AS v FROM m) SELECT round(mean, 6) AS mean, round(v[CAST(floor(0.025 * (len(v) - 1) + 1e-12) AS BIGINT) + 1], 6) AS low, round(v[CAST(floor(0.975 * (len(v) - 1) + 1e-12) AS BIGINT) + 1], 6) AS high FROM l"
 )
 def bootstrap_interval(spark, d):
-    return rounded(paired.bootstrap(systems(spark, d), samples=200))
+    return rounded(paired.bootstrap(systems(spark, d)))
 
 
 @query("SELECT count(*) AS n, round(avg(quality), 6) AS rate, round(2 * 1.96 * sqrt(avg(quality) * (1 - avg(quality)) / count(*)) * 100, 6) AS points FROM labels")

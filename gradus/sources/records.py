@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,8 @@ ROLLOUT = f"task_id string, sample_index int, prompt_template string, prompt str
 TRACE = "task_id string, prompt_template string, prompt string, raw_completion string, initial_code string, final_code string, steps array<struct<kind:string,code:string,parsed_status:string,observation:string,tool_result:variant,metadata:variant>>, final_result variant, final_reward variant, metadata variant"
 #: Keys under which a file may wrap its records, the first list-valued one counts (fixed values).
 ENVELOPES = ("tasks", "data", "items", "examples", "problems")
+#: Layouts of task files that read_source knows.
+LAYOUTS = ("tasks", "mbpp", "humaneval")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = ()) -> DataFrame:
@@ -154,6 +157,53 @@ def flat_rollouts(rollouts: DataFrame) -> DataFrame:
     return rollouts.select("task_id", "sample_index", F.coalesce("execution.passed", F.lit(False)).alias("passed"), F.coalesce("reward.reward", F.lit(0.0)).alias("reward"), F.col("raw_completion").alias("text"), "metadata", "ord")
 
 
+def labelled_path(value: str) -> tuple[str, str]:
+    """label and path of LABEL=PATH; without a label the file's name without its suffix."""
+    label, eq, path = value.partition("=")
+    if not eq:
+        return Path(value).stem, value
+    if not label.strip():
+        raise ValueError(f"an empty label: {value}")
+    return label.strip(), path
+
+
+def read_labelled(spark: SparkSession, values: list[str], most: int | None = None) -> DataFrame:
+    """Rollouts of files given as LABEL=PATH, with label; of each file the first ones, if a limit is given."""
+    if not values:
+        raise ValueError("no files")
+    paths: dict[str, str] = {}
+    for label, path in map(labelled_path, values):
+        if label in paths:
+            raise ValueError(f"the label {label} repeats")
+        paths[label] = path
+    parts = [read_rollouts(spark, p).withColumn("label", F.lit(n)) for n, p in paths.items()]
+    return reduce(DataFrame.unionByName, parts if most is None else [p.orderBy("ord").limit(most) for p in parts])
+
+
+def read_object(path: str) -> dict:
+    """One JSON object of a small file; empty if there is no such file, or if it holds something else."""
+    if not Path(path).exists():
+        return {}
+    found = json.loads(Path(path).read_text(encoding="utf-8"))
+    return found if isinstance(found, dict) else {}
+
+
+def read_source(spark: SparkSession, path: str, layout: str = "tasks", split: str | None = None, source: str | None = None, public: int = 1, sidecar: str | None = None) -> DataFrame:
+    """Tasks of a file in one of LAYOUTS, all in one split if one is given, with the tests of a sidecar."""
+    if layout not in LAYOUTS:
+        raise ValueError(f"unknown layout {layout!r}; known: {', '.join(LAYOUTS)}")
+    if split is not None and split not in SPLITS:
+        raise ValueError(f"unknown split {split!r}; known: {', '.join(SPLITS)}")
+    if layout == "mbpp":
+        tasks = read_mbpp(spark, path, split or "train", source or layout, public)
+    elif layout == "humaneval":
+        tasks = read_humaneval(spark, path, split or "test_public", source or layout)
+    else:
+        tasks = read_tasks(spark, path)
+        tasks = tasks if split is None else tasks.withColumn("split", F.lit(split))
+    return tasks if sidecar is None else apply_sidecar(tasks, read_sidecar(spark, sidecar))
+
+
 def write_jsonl(df: DataFrame, path: str, order: str | None = "ord", mode: str = "overwrite") -> None:
     """One object a line with sorted keys; in order, if one is given. Variants are written as JSON."""
     out = df.orderBy(order).drop(order) if order and order in df.columns else df
@@ -176,7 +226,8 @@ def glob_pattern(pattern: str) -> str:
 
 
 def artifacts(spark: SparkSession, root: str, include: tuple[str, ...] = ("*",), exclude: tuple[str, ...] = ()) -> DataFrame:
-    """path (below root), bytes and sha256 of files that match; what is excluded isn't read."""
+    """path (below root), bytes and sha256 of files that match; what is excluded isn't read. Spark's readers
+    pass over names that begin with _ or a dot; plans.manifest.files lists these too."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = Path(root).resolve().as_posix() if "://" not in root else root.rstrip("/")
     path = F.regexp_replace("path", "^.*?" + re.escape(base) + "/", "")
