@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.functions.text import short_number
@@ -11,15 +13,22 @@ AXES = ("seed", "group_size", "kl_beta", "curriculum_mode", "reward_name")
 
 
 def matrix(spark: SparkSession, max_steps: int, **axes: tuple) -> DataFrame:
-    """All combinations of the axes, numbered in nested order. The cross joins are of lists of settings."""
-    out = None
+    """All combinations of the axes, numbered in nested order: a range of numbers whose mixed digits are places
+    in the axes. Cross joins of lists would make as many tasks as their partitions' product."""
+    rows = math.prod(len(axes[n]) for n in AXES)
+    out, below = spark.range(0, rows, 1, 1 + rows // 100_000).withColumnRenamed("id", "ord"), rows
     for name in AXES:
-        values = spark.createDataFrame([(i, v) for i, v in enumerate(axes[name])], ["__" + name, name])
-        out = values if out is None else out.crossJoin(values)
-    out = out.withColumn("ord", F.row_number().over(Window.orderBy(*("__" + n for n in AXES))) - 1)
+        above, below = below, below // max(1, len(axes[name]))
+        out = out.withColumn(name, F.get(_values(axes[name]), F.expr(f"ord % {max(1, above)} div {max(1, below)}").cast("int")))
     return out.withColumn("max_steps", F.lit(max_steps)).withColumn("slug", slug()).select("ord", *AXES, "max_steps", "slug")
 
 
+def _values(values: tuple) -> Column:
+    """An axis as an array; integers are bigint."""
+    whole = all(isinstance(v, int) and not isinstance(v, bool) for v in values if v is not None)
+    return F.array(*(F.lit(v).cast("bigint") if whole else F.lit(v) for v in values))
+
+
 def slug():
     return F.concat_ws("_", F.concat(F.lit("g"), F.col("group_size").cast("string")), F.concat(F.lit("kl"), F.replace(short_number(F.col("kl_beta")), F.lit("."), F.lit("p"))), F.col("curriculum_mode"), F.col("reward_name"), F.concat(F.lit("seed"), F.col("seed").cast("string")))
 
@@ -41,7 +50,7 @@ def seed_averages(runs: DataFrame, keys: tuple[str, ...] = ("group_size", "kl_be
 def compare_algorithms(a: DataFrame, b: DataFrame, metrics: tuple[str, ...] = ("mean_reward", "pass_rate")) -> DataFrame:
     """Two frames of one row: their metrics, b less a, and whether both had the same budget of rollouts."""
     left, right = (x.select(*(F.col(c).alias(f"{n}_{c}") for c in (*metrics, "rollouts"))) for n, x in (("a", a), ("b", b)))
-    out = left.crossJoin(right)
+    out = left.crossJoin(F.broadcast(right))
     return out.select("*", *((F.col(f"b_{m}") - F.col(f"a_{m}")).alias(f"delta_{m}") for m in metrics), (F.col("a_rollouts") == F.col("b_rollouts")).alias("same_budget"))
 
 
