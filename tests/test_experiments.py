@@ -35,3 +35,16 @@ def test_matrix_of_an_empty_axis_a_null_and_mixed_numbers(spark):
     assert experiments.matrix(spark, 1, **SETTINGS | {"seed": ()}).collect() == []
     odd = experiments.matrix(spark, 1, **SETTINGS | {"seed": (None, 2**40), "kl_beta": (0, 0.5), "group_size": (4,)}).orderBy("ord").collect()
     assert [(r.seed, r.kl_beta) for r in odd[::4]] == [(None, 0.0), (None, 0.5), (2**40, 0.0), (2**40, 0.5)]
+
+
+def test_comparison_of_frames_with_many_partitions(spark):
+    df = spark.createDataFrame([(m / 4, 0.5, 80) for m in range(9)], "mean_reward double, pass_rate double, rollouts long")
+    got = experiments.compare_algorithms(df.where("mean_reward = 0.25"), df.where("mean_reward = 0.75"))
+    assert got.rdd.getNumPartitions() <= df.rdd.getNumPartitions()  # not their product
+    assert [(r.a_mean_reward, r.b_mean_reward, r.delta_mean_reward, r.same_budget) for r in got.collect()] == [(0.25, 0.75, 0.5, True)]
+
+
+def test_comparison_of_two_rows_of_a_matrix(spark):
+    r = runs(spark)
+    rows, tasks = ran(spark, experiments.compare_algorithms(r.where("ord = 1"), r.where("ord = 2")))
+    assert [x.delta_mean_reward for x in rows] == [0.1] and rows[0].same_budget and tasks < 50
