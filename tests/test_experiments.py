@@ -48,3 +48,8 @@ def test_comparison_of_two_rows_of_a_matrix(spark):
     r = runs(spark)
     rows, tasks = ran(spark, experiments.compare_algorithms(r.where("ord = 1"), r.where("ord = 2")))
     assert [x.delta_mean_reward for x in rows] == [0.1] and rows[0].same_budget and tasks < 50
+
+
+def test_best_run_of_a_matrix(spark):
+    rows, tasks = ran(spark, experiments.best_run(runs(spark), least_informative=0.3))
+    assert [(r.ord, r.mean_reward) for r in rows] == [(13, 0.6)] and tasks < 50  # 6 was stopped
