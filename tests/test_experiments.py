@@ -53,3 +53,9 @@ def test_comparison_of_two_rows_of_a_matrix(spark):
 def test_best_run_of_a_matrix(spark):
     rows, tasks = ran(spark, experiments.best_run(runs(spark), least_informative=0.3))
     assert [(r.ord, r.mean_reward) for r in rows] == [(13, 0.6)] and tasks < 50  # 6 was stopped
+
+
+def test_seed_averages_of_a_matrix(spark):
+    rows, tasks = ran(spark, experiments.seed_averages(runs(spark)))
+    got = {r.variant: (r.runs, round(r.mean_reward, 6)) for r in rows}
+    assert len(got) == 16 and got["4|0.02|static|x"] == (3, round((0 + 16 % 7 + 32 % 7) / 30, 6)) and tasks < 50
