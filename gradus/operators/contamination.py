@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 from difflib import SequenceMatcher
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from gradus.functions.late import late
 from gradus.functions.text import normalize_code, normalize_prose, snippet
@@ -92,19 +95,87 @@ def near_overlap(train: DataFrame, evals: DataFrame, threshold: float = 0.92) ->
     return near.select("id_a", "id_b", F.lit("near_duplicate").alias("kind"), _ratio("na", "nb", F.lit(threshold)).alias("score")).where(F.col("score") >= threshold)
 
 
-def contained(docs: DataFrame, items: DataFrame, most_broadcast: int = 500_000) -> DataFrame:
+#: How many of an item's words are its key, bytes of a text that are cut into words at once, and what an item takes in a task besides its text.
+_FIRST, _PIECE, _ITEM_BYTES = 4, 1 << 20, 500
+#: What normalize_prose keeps of the bytes of a lower-case text; all others part words.
+_KEPT = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789_" else 32 for b in range(256))
+
+
+class _Items:
+    """Normalized texts with their places, found by their first words."""
+
+    def __init__(self, texts: list[bytes]):
+        self.places: dict[bytes, list[int]] = {}
+        self.sizes: dict[int, dict[tuple[bytes, ...], tuple[int, ...]]] = {}  # of texts, by number of words in the key, then by key
+        known: dict = {}
+        for place, text in enumerate(texts):
+            key = tuple(known.setdefault(w, w) for w in text.split(b" ", _FIRST)[:_FIRST])
+            self.places.setdefault(b" " + text + b" ", []).append(place)
+            of = self.sizes.setdefault(len(key), {})
+            some = tuple(sorted({*of.get(key, ()), len(text) + 2}))
+            of[key] = known.setdefault(some, some)
+
+    def within(self, text: bytes) -> set[int]:
+        """Places of the texts that a lower-case text holds."""
+        text, keys, parts, tail, at = text.translate(_KEPT), set(), [], [], 0
+        while at < len(text):
+            end = text.find(b" ", at + _PIECE)
+            end = len(text) if end < 0 else end
+            new, at = text[at:end].split(), end
+            parts += [b" ".join(new)] if new else []
+            words = tail + new
+            tail = words[1 - _FIRST :]
+            for n, of in self.sizes.items():
+                keys |= of.keys() & zip(*(islice(words, i, None) for i in range(n)))
+        if not keys:
+            return set()
+        flat, found = b" ".join([b"", *parts, b""]), set()
+        for key in keys:
+            start, sizes = b" ".join([b"", *key, b""]), self.sizes[len(key)][key]
+            at = flat.find(start)
+            while at >= 0:
+                for size in sizes:
+                    found.update(self.places.get(flat[at : at + size], ()))
+                at = flat.find(start, at + 1)
+        return found
+
+
+def _contained_by_scan(docs: DataFrame, it: DataFrame) -> DataFrame:
+    """One pass over the documents, without a shuffle; each task holds all items."""
+    held = it.select("item_id", F.col("item").cast("binary").alias("item")).toArrow()
+    ids = held.column(0).combine_chunks()
+    known = docs.sparkSession.sparkContext.broadcast((pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids, _Items(held.column(1).to_pylist())))
+
+    def run(batches):
+        ids, all_items = known.value
+        for batch in batches:
+            rows, places = [], []
+            for i, text in enumerate(batch.column(1)):
+                if found := all_items.within(text.as_py()):
+                    rows += [i] * len(found)
+                    places += found
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), ids.take(pa.array(places, pa.int64()))], names=["id", "item_id"])
+
+    kinds = StructType([StructField("id", docs.schema["id"].dataType), StructField("item_id", it.schema["item_id"].dataType)])
+    return docs.where("text is not null").select("id", F.lower("text").cast("binary").alias("text")).mapInArrow(run, kinds)
+
+
+def contained(docs: DataFrame, items: DataFrame, most_broadcast: int = 500_000, most_bytes: int = 128 << 20) -> DataFrame:
     """Pairs (id, item_id) of documents that hold an item's normalized text.
 
-    The hash of an item's first words is a key: documents are cut into all runs of that many words, once for
-    each length of key, and runs that are no key go before anything is shuffled. That takes a broadcast of the keys,
-    8 bytes each, if there are at most most_broadcast items, which is counted; beyond that a shuffle join.
-    Containment is checked on what is left, so keys that collide do no harm.
+    An item's first words are its key. If there are at most most_broadcast items and they take at most most_bytes in a
+    task, which is counted, tasks hold them all: documents are read once, their runs of words looked up among
+    the keys, and texts of an item's size compared where its key is. Beyond that hashes of keys are joined: documents
+    are cut into all runs of that many words, once for each length of key, and runs that are no key go before anything
+    else is shuffled, by a broadcast of 8 bytes a key for up to most_broadcast items, else by a shuffle join; ids must
+    tell documents apart. Containment is checked on what is left, so keys that collide do no harm.
     """
-    words = 4
     w = F.split("item", " ")
-    it = items.select("item_id", normalize_prose(F.col("text")).alias("item")).where("item <> ''").select("item_id", "item", F.least(F.size(w), F.lit(words)).alias("k"), F.xxhash64(F.slice(w, 1, words)).alias("key"))
-    sizes = {r["k"]: r["count"] for r in it.groupBy("k").count().collect()}  # at most `words` rows
-    keys, small = it.select("key").distinct(), sum(sizes.values()) <= most_broadcast
+    it = items.select("item_id", normalize_prose(F.col("text")).alias("item")).where("item <> ''").select("item_id", "item", F.least(F.size(w), F.lit(_FIRST)).alias("k"), F.xxhash64(F.slice(w, 1, _FIRST)).alias("key"))
+    sizes = {r["k"]: (r["n"], r["size"]) for r in it.groupBy("k").agg(F.count("*").alias("n"), F.sum(F.octet_length("item") + _ITEM_BYTES).alias("size")).collect()}  # at most _FIRST rows
+    keys, small = it.select("key").distinct(), sum(n for n, _ in sizes.values()) <= most_broadcast
+    if small and sum(size for _, size in sizes.values()) <= most_bytes:
+        return _contained_by_scan(docs, it)
     d = docs.select("id", normalize_prose(F.col("text")).alias("norm")).where("norm <> ''")
     split = d.select("id", F.split("norm", " ").alias("w"))
 
