@@ -5,6 +5,7 @@ from itertools import product
 from pyspark.sql import functions as F
 
 from gradus.operators import experiments
+from gradus.plans import catalogue
 
 SETTINGS = {"seed": (1, 2, 3), "group_size": (4, 8), "kl_beta": (0.02, 0.05), "curriculum_mode": ("static", "informative"), "reward_name": ("x", "y")}
 
@@ -59,3 +60,8 @@ def test_seed_averages_of_a_matrix(spark):
     rows, tasks = ran(spark, experiments.seed_averages(runs(spark)))
     got = {r.variant: (r.runs, round(r.mean_reward, 6)) for r in rows}
     assert len(got) == 16 and got["4|0.02|static|x"] == (3, round((0 + 16 % 7 + 32 % 7) / 30, 6)) and tasks < 50
+
+
+def test_query_algorithm_comparison_takes_few_tasks(spark):
+    rows, tasks = ran(spark, catalogue.algorithm_comparison(spark, "no tables"))
+    assert [tuple(r) for r in rows] == [(0.7, 0.3, -0.4, True)] and tasks < 50
