@@ -65,3 +65,8 @@ def test_seed_averages_of_a_matrix(spark):
 def test_query_algorithm_comparison_takes_few_tasks(spark):
     rows, tasks = ran(spark, catalogue.algorithm_comparison(spark, "no tables"))
     assert [tuple(r) for r in rows] == [(0.7, 0.3, -0.4, True)] and tasks < 50
+
+
+def test_query_best_run_takes_few_tasks(spark):
+    rows, tasks = ran(spark, catalogue.best_run(spark, "no tables"))
+    assert [tuple(r) for r in rows] == [("g8_kl0p05_informative_y_seed3", 1.0)] and tasks < 50
