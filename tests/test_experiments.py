@@ -70,3 +70,8 @@ def test_query_algorithm_comparison_takes_few_tasks(spark):
 def test_query_best_run_takes_few_tasks(spark):
     rows, tasks = ran(spark, catalogue.best_run(spark, "no tables"))
     assert [tuple(r) for r in rows] == [("g8_kl0p05_informative_y_seed3", 1.0)] and tasks < 50
+
+
+def test_query_seed_averages_takes_few_tasks(spark):
+    rows, tasks = ran(spark, catalogue.seed_averages(spark, "no tables"))
+    assert len(rows) == 16 and ("4|0.02|static|x", 3, 0.2, 0.2) in {tuple(r) for r in rows} and tasks < 50
